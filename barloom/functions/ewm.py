@@ -11,13 +11,13 @@ previous block still matters in double precision.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import BY, START, TIME, row_index, running, series
+from .windows import BY, START, TIME, row_index, series
 
 _DECAY = 60.0      # exp(-60) ~ 1e-26, what is lost of older blocks
 _OVERFLOW = 600.0  # exp(600) still fits a double
@@ -59,43 +59,62 @@ def _grouped(specs: Sequence[Ewm]) -> list[list[Ewm]]:
     return groups
 
 
-def add_ewm(df: DataFrame, specs: Sequence[Ewm], by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
-    """Add exponential means.  Nulls are allowed before the first value only."""
-    for group in _grouped(specs):
-        df = _add_group(df, group, by, time)
-    return df
+def add_ewm(
+    df: DataFrame,
+    specs: Sequence[Ewm],
+    by: Sequence[str] = BY,
+    time: str = TIME,
+    derive: Mapping[str, Column] | None = None,
+    then: Sequence[Ewm] = (),
+) -> DataFrame:
+    """Add exponential means.  Nulls are allowed before the first value only.
 
-
-def _add_group(df: DataFrame, specs: list[Ewm], by: Sequence[str], time: str) -> DataFrame:
-    block = math.ceil(_DECAY / specs[0].rate)
-    w = series(by, time)
-    keep = df.columns
-
-    first = {"_i": row_index(w)}
-    for k, s in enumerate(specs):
-        first[f"_n{k}"] = F.count(F.col(s.source)).over(running(w))
-        first[f"_c{k}"] = (
-            F.first(F.col(s.source), ignorenulls=True).over(running(w)) if s.centered else F.lit(0.0)
-        )
-    df = df.withColumns(first)
+    ``derive`` adds columns made from the first means and ``then`` smooths those
+    again (a line and its signal line) within the same two sorts.
+    """
+    groups = _grouped([*specs, *then])
+    if len(groups) > 1:
+        for group in _grouped(specs):
+            df = _pass(df, group, by, time, {}, [])
+        df = df.withColumns(dict(derive)) if derive else df
+        for group in _grouped(then):
+            df = _pass(df, group, by, time, {}, [])
+        return df
+    return _pass(df, list(specs), by, time, dict(derive or {}), list(then))
+
+
+def _pass(df: DataFrame, specs: list[Ewm], by, time: str, derive: dict, then: list[Ewm]) -> DataFrame:
+    block = math.ceil(_DECAY / min(s.rate for s in [*specs, *then]))
+    out = [*df.columns, *[s.out for s in specs], *derive, *[s.out for s in then]]
+    df = df.withColumn("_i", row_index(series(by, time)))
     df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_p": F.col("_i") % block})
-
+    df = _smooth(df, specs, block, by, time)
+    if derive:
+        df = df.withColumns(derive)
+    if then:
+        df = _smooth(df, then, block, by, time)
+    return df.select(*out)
+
+
+def _smooth(df: DataFrame, specs: list[Ewm], block: int, by, time: str) -> DataFrame:
+    # (key, block, time) is the order of both windows below, so they share one sort.
+    ordered = Window.partitionBy(*by).orderBy("_b", time)
+    so_far, before = ordered.rowsBetween(START, 0), ordered.rowsBetween(START, -1)
     in_block = Window.partitionBy(*by, "_b").orderBy(time).rowsBetween(START, 0)
-    local = {}
+    seen, local, result = {}, {}, {}
+    for k, s in enumerate(specs):
+        x = F.col(s.source)
+        seen[f"_n{k}"] = F.count(x).over(so_far)
+        if s.centered:
+            seen[f"_c{k}"] = F.first(x, ignorenulls=True).over(so_far)
     for k, s in enumerate(specs):
+        at = F.col(f"_c{k}") if s.centered else F.lit(0.0)
         weight = F.when(F.col(f"_n{k}") == 1, F.lit(1.0)).otherwise(F.lit(s.alpha))
-        scaled = weight * (F.col(s.source) - F.col(f"_c{k}")) * F.exp(F.col("_p") * s.rate)
+        scaled = weight * (F.col(s.source) - at) * F.exp(F.col("_p") * s.rate)
         local[f"_e{k}"] = F.sum(F.coalesce(scaled, F.lit(0.0))).over(in_block) * F.exp(F.col("_p") * -s.rate)
-    df = df.withColumns(local)
-
-    before = Window.partitionBy(*by).orderBy("_b", time).rowsBetween(START, -1)
-    out = {}
     for k, s in enumerate(specs):
+        at = F.col(f"_c{k}") if s.centered else F.lit(0.0)
         carry = F.last(F.when(F.col("_p") == block - 1, F.col(f"_e{k}")), ignorenulls=True).over(before)
-        value = (
-            F.col(f"_c{k}")
-            + F.col(f"_e{k}")
-            + F.coalesce(carry, F.lit(0.0)) * F.exp((F.col("_p") + 1) * -s.rate)
-        )
-        out[s.out] = F.when(F.col(f"_n{k}") >= max(s.min_periods, 1), value)
-    return df.withColumns(out).select(*keep, *[s.out for s in specs])
+        decayed = F.coalesce(carry, F.lit(0.0)) * F.exp((F.col("_p") + 1) * -s.rate)
+        result[s.out] = F.when(F.col(f"_n{k}") >= max(s.min_periods, 1), at + F.col(f"_e{k}") + decayed)
+    return df.withColumns(seen).withColumns(local).withColumns(result).drop(*seen, *local)

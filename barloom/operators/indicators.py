@@ -120,10 +120,37 @@ def add_rsi(panel, period: int = K.RSI_PERIOD, out: str = "rsi", by=BY, time=TIM
 
 
 def add_macd(panel, fast: int = 12, slow: int = 26, signal: int = 9, by=BY, time=TIME) -> DataFrame:
-    panel = add_ewm(panel, [Ewm("_fast", "close", span(fast)), Ewm("_slow", "close", span(slow))], by, time)
-    panel = panel.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    panel = add_ewm(panel, [Ewm("macd_signal", "macd", span(signal))], by, time)
-    return panel.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    panel = add_ewm(
+        panel,
+        [Ewm("_fast", "close", span(fast)), Ewm("_slow", "close", span(slow))],
+        by,
+        time,
+        derive={"macd": F.col("_fast") - F.col("_slow")},
+        then=[Ewm("macd_signal", "macd", span(signal))],
+    )
+    return panel.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
+
+
+def add_oscillators(panel, by=BY, time=TIME) -> DataFrame:
+    """MACD, RSI and the exponential Keltner channel at their defaults, from one pass of exponential means."""
+    panel = add_gain_loss(panel, by, time)
+    if "true_range" not in panel.columns:
+        panel = add_true_range(panel, by, time)
+    panel = add_ewm(
+        panel,
+        [
+            Ewm("_fast", "close", span(12)),
+            Ewm("_slow", "close", span(26)),
+            Ewm("keltner_mid", "close", span(20)),
+            Ewm("atr_ema", "true_range", span(20)),
+            *rsi_specs(K.RSI_PERIOD),
+        ],
+        by,
+        time,
+        derive={"macd": F.col("_fast") - F.col("_slow")},
+        then=[Ewm("macd_signal", "macd", span(9))],
+    )
+    return panel.withColumn("rsi", rsi_value()).drop("_fast", "_slow", "_gain", "_loss", "_avg_gain", "_avg_loss")
 
 
 def add_keltner(
@@ -143,38 +170,42 @@ def add_squeeze(
     panel, bb_period: int = 20, bb_std: float = 2.0, kc_period: int = 20, kc_mult: float = 1.5, by=BY, time=TIME
 ) -> DataFrame:
     """Bollinger bands inside the exponential Keltner channel, and the bar on which that ends."""
-    w = series(by, time)
     if "true_range" not in panel.columns:
         panel = add_true_range(panel, by, time)
-    panel = add_ewm(
-        panel,
-        [Ewm("_kmid", "close", span(kc_period)), Ewm("_katr", "true_range", span(kc_period))],
-        by,
-        time,
-    )
+    means = [Ewm("_kmid", "close", span(kc_period)), Ewm("_katr", "true_range", span(kc_period))]
+    panel = add_ewm(panel, means, by, time)
+    return squeeze_from(panel, "_kmid", "_katr", bb_period, bb_std, kc_mult, by, time).drop("_kmid", "_katr")
+
+
+def squeeze_from(
+    panel, mid: str, atr: str, bb_period: int = 20, bb_std: float = 2.0, kc_mult: float = 1.5, by=BY, time=TIME
+) -> DataFrame:
+    """The squeeze of bands around given Keltner columns."""
+    w = series(by, time)
     panel = panel.withColumns({"sq_mid": roll_avg("close", bb_period, w), "_sd": roll_std("close", bb_period, w)})
     panel = panel.withColumns(
         {
             "sq_upper": F.col("sq_mid") + bb_std * F.col("_sd"),
             "sq_lower": F.col("sq_mid") - bb_std * F.col("_sd"),
-            "kc_upper": F.col("_kmid") + kc_mult * F.col("_katr"),
-            "kc_lower": F.col("_kmid") - kc_mult * F.col("_katr"),
+            "kc_upper": F.col(mid) + kc_mult * F.col(atr),
+            "kc_lower": F.col(mid) - kc_mult * F.col(atr),
         }
-    ).drop("_sd", "_kmid", "_katr")
+    ).drop("_sd")
     on = holds((F.col("sq_upper") < F.col("kc_upper")) & (F.col("sq_lower") > F.col("kc_lower")))
     panel = panel.withColumn("squeeze_on", on)
     before = F.lag("squeeze_on", 1, False).over(w)
     return panel.withColumn("squeeze_release", before & ~F.col("squeeze_on"))
 
 
-def typical_price() -> Column:
-    return (F.col("high") + F.col("low") + F.col("close")) / 3
+def price_total() -> Column:
+    """Three times the typical price; the division is left to the end, where it is done once."""
+    return F.col("high") + F.col("low") + F.col("close")
 
 
 def add_vwap(panel, window: int = K.VWAP_WINDOW, by=BY, time=TIME) -> DataFrame:
     w = series(by, time)
-    panel = panel.withColumn("_tv", typical_price() * F.col("volume"))
-    vwap = roll_sum("_tv", window, w) / nonzero(roll_sum("volume", window, w))
+    panel = panel.withColumn("_tv", price_total() * F.col("volume"))
+    vwap = roll_sum("_tv", window, w) / nonzero(roll_sum("volume", window, w) * 3)
     return panel.withColumn("vwap", vwap).drop("_tv")
 
 
@@ -186,7 +217,7 @@ def anchored_vwap(panel: DataFrame, anchors: DataFrame, by=BY, time=TIME) -> Dat
     """
     pairs = panel.join(anchors.select(*by, "anchor_dt"), list(by)).filter(F.col(time) >= F.col("anchor_dt"))
     w = running(series([*by, "anchor_dt"], time))
-    value = F.sum(typical_price() * F.col("volume")).over(w) / nonzero(F.sum("volume").over(w))
+    value = F.sum(price_total() * F.col("volume")).over(w) / nonzero(F.sum("volume").over(w) * 3)
     return pairs.withColumn("anchored_vwap", value)
 
 

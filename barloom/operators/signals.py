@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.windows import BY, TIME, holds, latest, roll_avg, row_index, running, series, two_state, whole
-from .indicators import add_atr_ema, add_donchian, add_macd, add_rsi, add_squeeze
+from .indicators import (
+    add_atr_ema,
+    add_donchian,
+    add_macd,
+    add_oscillators,
+    add_rsi,
+    add_squeeze,
+    squeeze_from,
+)
 from .joins import asof_calendar
 from .structure import add_fractal_dimension, add_pivots, add_weekly_pivots
 
@@ -48,17 +56,19 @@ def macd_rsi(
     by=BY,
     time=TIME,
 ) -> DataFrame:
-    panel = add_macd(panel, fast, slow, signal, by, time)
-    if "rsi" not in panel.columns or rsi_period != K.RSI_PERIOD:
-        panel = add_rsi(panel, rsi_period, "_rsi", by, time)
-    else:
-        panel = panel.withColumn("_rsi", F.col("rsi"))
+    kept = panel.columns
+    panel = add_rsi(add_macd(panel, fast, slow, signal, by, time), rsi_period, "_rsi", by, time)
+    return macd_rsi_rule(panel, "_rsi", rsi_entry, rsi_exit, by, time).select(*kept, "signal")
+
+
+def macd_rsi_rule(panel, rsi: str = "rsi", entry: float = 45.0, leave: float = 65.0, by=BY, time=TIME) -> DataFrame:
+    """Cross up while not yet strong enters; cross down or overbought leaves."""
     w = series(by, time)
     m, s = F.col("macd"), F.col("macd_signal")
     pm, ps = F.lag("macd").over(w), F.lag("macd_signal").over(w)
-    enter = (m > s) & (pm <= ps) & (F.col("_rsi") < rsi_entry)
-    leave = holds((m < s) & (pm >= ps)) | holds(F.col("_rsi") > rsi_exit)
-    return panel.withColumn("signal", leave_first(leave, enter)).drop("macd", "macd_signal", "macd_hist", "_rsi")
+    up = (m > s) & (pm <= ps) & (F.col(rsi) < entry)
+    down = holds((m < s) & (pm >= ps)) | holds(F.col(rsi) > leave)
+    return panel.withColumn("signal", leave_first(down, up))
 
 
 def bb_squeeze(
@@ -66,9 +76,13 @@ def bb_squeeze(
 ) -> DataFrame:
     kept = panel.columns
     panel = add_squeeze(panel, bb_period, bb_std, kc_period, kc_mult, by, time)
+    return squeeze_rule(panel).select(*kept, "signal")
+
+
+def squeeze_rule(panel) -> DataFrame:
     c = F.col("close")
     enter = F.col("squeeze_release") & (c > F.col("sq_upper"))
-    return panel.withColumn("signal", leave_first(c < F.col("sq_mid"), enter)).select(*kept, "signal")
+    return panel.withColumn("signal", leave_first(c < F.col("sq_mid"), enter))
 
 
 def tsmom(
@@ -207,22 +221,19 @@ def held(signal: str | Column, w) -> Column:
 VOTERS = ["MA Crossover", "MACD + RSI", "BB Squeeze", "TSMOM", "Turtle", "Fractal"]
 
 
-def ensemble_votes(panel, strategies: Sequence[str] | None = None, by=BY, time=TIME, **fractal_kwargs) -> DataFrame:
-    """``votes_buy``: how many strategies are in at each bar, with sells and confidence."""
+def ensemble_votes(
+    panel, strategies: Sequence[str] | None = None, weekly_trend: str = "asof", by=BY, time=TIME
+) -> DataFrame:
+    """``votes_buy``: how many strategies are in at each bar, with the rest and the share in favour."""
     names = [n for n in VOTERS if strategies is None or n in strategies]
     kept = panel.columns
-    w = series(by, time)
-    wide = _signals_wide(panel, names, by, time, fractal_kwargs)
-    votes = F.lit(0)
-    for k in range(len(names)):
-        votes = votes + held(f"_s{k}", w)
-    wide = wide.withColumn("votes_buy", votes.cast("int"))
-    return wide.withColumns(
-        {
-            "votes_sell": (F.lit(len(names)) - F.col("votes_buy")).cast("int"),
-            "confidence": F.col("votes_buy") / F.lit(max(len(names), 1)),
-        }
-    ).select(*kept, "votes_buy", "votes_sell", "confidence")
+    wide = _with_votes(_signals_wide(panel, names, by, time, weekly_trend), len(names), by, time)
+    return wide.select(
+        *kept,
+        "votes_buy",
+        (F.lit(len(names)) - F.col("votes_buy")).cast("int").alias("votes_sell"),
+        (F.col("votes_buy") / F.lit(max(len(names), 1))).alias("confidence"),
+    )
 
 
 def ensemble_signal(panel, threshold: int | Column, by=BY, time=TIME) -> DataFrame:
@@ -237,10 +248,11 @@ def ensemble_signal(panel, threshold: int | Column, by=BY, time=TIME) -> DataFra
     return panel.withColumn("signal", change.cast("int")).drop("_d", "_state")
 
 
-def ensemble(panel, threshold: int = 3, strategies=None, by=BY, time=TIME, **fractal_kwargs) -> DataFrame:
+def ensemble(
+    panel, threshold: int = 3, strategies=None, weekly_trend: str = "asof", by=BY, time=TIME
+) -> DataFrame:
     kept = panel.columns
-    if "votes_buy" not in kept:
-        panel = ensemble_votes(panel, strategies, by, time, **fractal_kwargs)
+    panel = ensemble_votes(panel, strategies, weekly_trend, by, time)
     return ensemble_signal(panel, threshold, by, time).select(*kept, "signal")
 
 
@@ -270,13 +282,31 @@ register_strategy("Fractal", fractal)
 register_strategy("Ensemble", ensemble)
 
 
-def _signals_wide(panel, names: Sequence[str], by, time, fractal_kwargs: dict, params: dict | None = None) -> DataFrame:
-    """One column ``_s<k>`` per strategy; every strategy works on the same partitions."""
+_SHARED = ("MACD + RSI", "BB Squeeze")
+_BUILT_IN = dict(STRATEGIES)
+
+
+def _signals_wide(panel, names: Sequence[str], by, time, weekly_trend: str, params: dict | None = None) -> DataFrame:
+    """One column ``_s<k>`` per strategy, all from the same partitions.
+
+    The two strategies built on exponential means share one pass of them when
+    both run with default parameters.
+    """
     params = params or {}
+    shared = all(n in names and not params.get(n) and STRATEGIES[n] is _BUILT_IN[n] for n in _SHARED)
+    if shared:
+        kept = panel.columns
+        panel = add_oscillators(panel, by, time)
+        panel = squeeze_from(panel, "keltner_mid", "atr_ema", by=by, time=time)
+        panel = macd_rsi_rule(panel, by=by, time=time).withColumnRenamed("signal", f"_s{names.index(_SHARED[0])}")
+        panel = squeeze_rule(panel).withColumnRenamed("signal", f"_s{names.index(_SHARED[1])}")
+        panel = panel.select(*kept, *[f"_s{names.index(n)}" for n in _SHARED])
     for k, name in enumerate(names):
+        if shared and name in _SHARED:
+            continue
         kwargs = dict(params.get(name, {}))
-        if name in ("Fractal", "Ensemble"):
-            kwargs = {**fractal_kwargs, **kwargs}
+        if STRATEGIES[name] in (_BUILT_IN["Fractal"], _BUILT_IN["Ensemble"]):
+            kwargs.setdefault("weekly_trend", weekly_trend)
         panel = STRATEGIES[name].run(panel, by=by, time=time, **kwargs).withColumnRenamed("signal", f"_s{k}")
     return panel
 
@@ -296,25 +326,28 @@ def compute_signals(
     """
     names = list(STRATEGIES) if names is None else list(names)
     params = dict(params or {})
-    frac = {"weekly_trend": weekly_trend}
     panel = panel.withColumn("_bars", F.count("*").over(whole(by)))
-    # The six voters are computed anyway when the ensemble is asked for with all of them.
-    if "Ensemble" in names and not params.get("Ensemble", {}).get("strategies"):
-        direct = [n for n in names if n != "Ensemble"]
-        order = list(dict.fromkeys([*VOTERS, *direct]))
-        overridden = {n for n in VOTERS if params.get(n)}
-        if not overridden:
-            wide = _signals_wide(panel, order, by, time, frac, params)
-            w = series(by, time)
-            votes = F.lit(0)
-            for k in range(len(VOTERS)):
-                votes = votes + held(f"_s{k}", w)
-            wide = wide.withColumn("votes_buy", votes.cast("int"))
-            threshold = params.get("Ensemble", {}).get("threshold", 3)
-            wide = ensemble_signal(wide, threshold, by, time).withColumnRenamed("signal", f"_s{len(order)}")
-            return _long(wide, [*order, "Ensemble"], names, by, time, keep)
-    wide = _signals_wide(panel, names, by, time, frac, params)
-    return _long(wide, names, names, by, time, keep)
+    # The ensemble votes with the six strategies at their defaults: run those once for both uses.
+    reuse = (
+        "Ensemble" in names
+        and set(params.get("Ensemble", {})) <= {"threshold"}
+        and not any(params.get(n) for n in VOTERS)
+    )
+    if not reuse:
+        return _long(_signals_wide(panel, names, by, time, weekly_trend, params), names, names, by, time, keep)
+    order = list(dict.fromkeys([*VOTERS, *[n for n in names if n != "Ensemble"]]))
+    wide = _with_votes(_signals_wide(panel, order, by, time, weekly_trend, params), len(VOTERS), by, time)
+    wide = ensemble_signal(wide, params.get("Ensemble", {}).get("threshold", 3), by, time)
+    wide = wide.withColumnRenamed("signal", f"_s{len(order)}")
+    return _long(wide, [*order, "Ensemble"], names, by, time, keep)
+
+
+def _with_votes(wide, n: int, by, time) -> DataFrame:
+    w = series(by, time)
+    votes = F.lit(0)
+    for k in range(n):
+        votes = votes + held(f"_s{k}", w)
+    return wide.withColumn("votes_buy", votes.cast("int"))
 
 
 def _long(wide, columns: Sequence[str], names: Sequence[str], by, time, keep) -> DataFrame:
@@ -335,7 +368,7 @@ def _long(wide, columns: Sequence[str], names: Sequence[str], by, time, keep) ->
     )
 
 
-def last_cross(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, by=BY, time=TIME) -> DataFrame:
+def last_cross(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, digits: int = 2, by=BY, time=TIME) -> DataFrame:
     """Per key: trend at the last bar and the newest crossover."""
     w = series(by, time)
     panel = ma_crossover(panel, short, long, by, time).withColumns(
@@ -344,7 +377,7 @@ def last_cross(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, by=BY, tim
     cross = F.struct(
         F.col(time).alias("cross_dt"),
         F.when(F.col("signal") == 1, "golden_cross").otherwise("death_cross").alias("cross_type"),
-        F.round("close", 2).alias("cross_price"),
+        F.round("close", digits).alias("cross_price"),
     )
     out = panel.groupBy(*by).agg(
         F.max_by(F.struct("_short", "_long"), time).alias("_last"),
@@ -354,8 +387,8 @@ def last_cross(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, by=BY, tim
     return out.select(
         *by,
         F.when(above, "bullish").otherwise("bearish").alias("trend"),
-        F.round("_last._short", 2).alias("sma_short"),
-        F.round("_last._long", 2).alias("sma_long"),
+        F.round("_last._short", digits).alias("sma_short"),
+        F.round("_last._long", digits).alias("sma_long"),
         "_x.cross_type",
         "_x.cross_dt",
         "_x.cross_price",

@@ -145,10 +145,10 @@ FROM (SELECT *, {rl('avg', 'close', 20)} AS mid, {rl('stddev_samp', 'close', 20)
 
 @query(
     "bollinger",
-    "SELECT symbol, dt, round(mid, 6) AS bb_mid, round(upper, 6) AS bb_upper, round(lower, 6) AS bb_lower FROM bb",
+    "SELECT symbol, dt, round(mid, 4) AS bb_mid, round(upper, 4) AS bb_upper, round(lower, 4) AS bb_lower FROM bb",
 )
 def bollinger(spark, sf):
-    return shown(I.add_bollinger(T.bars(spark, sf)), "symbol", "dt", "bb_mid", "bb_upper", "bb_lower")
+    return shown(I.add_bollinger(T.bars(spark, sf)), "symbol", "dt", "bb_mid", "bb_upper", "bb_lower", digits=4)
 
 
 @query(
@@ -178,10 +178,10 @@ def atr(spark, sf):
     return shown(I.add_atr_stop(I.add_atr(T.bars(spark, sf))), "symbol", "dt", "true_range", "atr", "atr_stop")
 
 
-cte("tp", "SELECT *, (high + low + close) / 3 AS tp, (high + low + close) / 3 * volume AS tv FROM b")
+cte("tp", "SELECT *, (high + low + close) * volume AS tv FROM b")
 
 
-@query("vwap", f"SELECT symbol, dt, round({rl('sum', 'tv', 20)} / {rl('sum', 'volume', 20)}, 6) AS vwap FROM tp")
+@query("vwap", f"SELECT symbol, dt, round({rl('sum', 'tv', 20)} / (3 * {rl('sum', 'volume', 20)}), 6) AS vwap FROM tp")
 def vwap(spark, sf):
     return shown(I.add_vwap(T.bars(spark, sf)), "symbol", "dt", "vwap")
 
@@ -516,7 +516,7 @@ def anchor_events(spark, sf):
 @query(
     "anchored_vwap",
     """
-SELECT t.symbol, a.dt AS anchor_dt, t.dt, round(sum(tv) OVER v / sum(volume) OVER v, 6) AS anchored_vwap
+SELECT t.symbol, a.dt AS anchor_dt, t.dt, round(sum(tv) OVER v / (3 * sum(volume) OVER v), 6) AS anchored_vwap
 FROM tp t JOIN (SELECT * FROM events_top WHERE k <= 5) a ON a.symbol = t.symbol AND t.dt >= a.dt
 WINDOW v AS (PARTITION BY t.symbol, a.dt ORDER BY t.dt ROWS UNBOUNDED PRECEDING)
 """,

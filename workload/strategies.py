@@ -143,7 +143,7 @@ def ma_signal(spark, sf):
 @query(
     "ma_state",
     f"""
-SELECT f.symbol, CASE WHEN f.a = 1 THEN 'bullish' ELSE 'bearish' END AS trend, round(f.s50, 2) AS sma_short, round(f.s200, 2) AS sma_long,
+SELECT f.symbol, CASE WHEN f.a = 1 THEN 'bullish' ELSE 'bearish' END AS trend, round(f.s50, 6) AS sma_short, round(f.s200, 6) AS sma_long,
        CASE x.signal WHEN 1 THEN 'golden_cross' WHEN -1 THEN 'death_cross' END AS cross_type, x.dt AS cross_dt, round(x.close, 2) AS cross_price
 FROM (SELECT *, {rl('avg', 'close', 50)} AS s50, {rl('avg', 'close', 200)} AS s200 FROM sig_ma) f
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS k FROM sig_ma WHERE signal <> 0) x
@@ -152,7 +152,7 @@ WHERE f.i = f.n - 1
 """,
 )
 def ma_state(spark, sf):
-    return G.last_cross(T.bars(spark, sf))
+    return G.last_cross(T.bars(spark, sf), digits=6)
 
 
 @query("sig_macd_rsi", "SELECT symbol, dt, signal FROM sig_macd")
@@ -354,20 +354,20 @@ FROM {p}_agg
 
 
 METRICS_SQL = """
-SELECT a.symbol, a.strategy, bars, round(fin, 2) AS final_capital, round(tot, 2) AS total_return_pct,
-  CASE WHEN nr > 1 THEN round(ann, 2) END AS annualized_return_pct, round(bhr, 2) AS buy_hold_return_pct,
-  round(tot - bhr, 2) AS alpha_pct, round(mdd, 2) AS max_drawdown_pct,
-  round(CASE WHEN nr > 1 AND sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END, 3) AS sharpe_ratio,
-  round(CASE WHEN nr > 1 AND down > 0 THEN mean / down * sqrt(252) ELSE 0 END, 3) AS sortino_ratio,
-  round(CASE WHEN nr > 1 AND mdd <> 0 THEN ann / abs(mdd) ELSE 0 END, 3) AS calmar_ratio,
-  round(CASE WHEN gl > 0 THEN gw / gl WHEN gw = 0 THEN 0 END, 2) AS profit_factor, gl = 0 AND gw > 0 AS no_losses,
-  nt AS num_trades, round(wr * 100, 2) AS win_rate_pct, round(ad, 1) AS avg_trade_duration,
+SELECT a.symbol, a.strategy, bars, round(fin, 6) AS final_capital, round(tot, 6) AS total_return_pct,
+  CASE WHEN nr > 1 THEN round(ann, 6) END AS annualized_return_pct, round(bhr, 6) AS buy_hold_return_pct,
+  round(tot - bhr, 6) AS alpha_pct, round(mdd, 6) AS max_drawdown_pct,
+  round(CASE WHEN nr > 1 AND sd > 0 THEN mean / sd * sqrt(252) ELSE 0 END, 6) AS sharpe_ratio,
+  round(CASE WHEN nr > 1 AND down > 0 THEN mean / down * sqrt(252) ELSE 0 END, 6) AS sortino_ratio,
+  round(CASE WHEN nr > 1 AND mdd <> 0 THEN ann / abs(mdd) ELSE 0 END, 6) AS calmar_ratio,
+  round(CASE WHEN gl > 0 THEN gw / gl WHEN gw = 0 THEN 0 END, 6) AS profit_factor, gl = 0 AND gw > 0 AS no_losses,
+  nt AS num_trades, round(wr * 100, 6) AS win_rate_pct, round(ad, 6) AS avg_trade_duration,
   coalesce((SELECT max(len) FROM {p}_isl i WHERE i.symbol = a.symbol AND i.strategy = a.strategy AND win), 0) AS max_consec_wins,
   coalesce((SELECT max(len) FROM {p}_isl i WHERE i.symbol = a.symbol AND i.strategy = a.strategy AND NOT win), 0) AS max_consec_losses,
-  round(aw * wr - al * (1 - wr), 2) AS expectancy, round(pay, 2) AS payoff_ratio, round(aw, 2) AS avg_win_pct, round(al, 2) AS avg_loss_pct,
-  round(CASE WHEN mdd <> 0 AND round(mdd, 2) <> 0 THEN abs(round(tot, 2)) / abs(round(mdd, 2)) ELSE 0 END, 2) AS recovery_factor,
-  round(CASE WHEN pay > 0 THEN greatest(0, 0.5 * (wr - (1 - wr) / pay)) ELSE 0 END, 3) AS kelly_fraction,
-  coalesce(d.len, 0) AS max_dd_duration
+  round(aw * wr - al * (1 - wr), 6) AS expectancy, round(pay, 6) AS payoff_ratio, round(aw, 6) AS avg_win_pct, round(al, 6) AS avg_loss_pct,
+  round(CASE WHEN mdd <> 0 AND round(mdd, 2) <> 0 THEN abs(round(tot, 2)) / abs(round(mdd, 2)) ELSE 0 END, 6) AS recovery_factor,
+  round(CASE WHEN pay > 0 THEN greatest(0, 0.5 * (wr - (1 - wr) / pay)) ELSE 0 END, 6) AS kelly_fraction,
+  CAST(coalesce(d.len, 0) AS INTEGER) AS max_dd_duration
 FROM {p}_ratio a LEFT JOIN {p}_ddl d ON d.symbol = a.symbol AND d.strategy = a.strategy
 """
 
@@ -376,7 +376,7 @@ metrics_ctes("ma")
 
 @query("metrics_ma", METRICS_SQL.format(p="ma"))
 def metrics_ma(spark, sf):
-    return K.metrics(K.equity_curve(G.compute_signals(T.bars(spark, sf), ["MA Crossover"])))
+    return shown(K.metrics(K.equity_curve(G.compute_signals(T.bars(spark, sf), ["MA Crossover"])), rounded=False))
 
 
 add_book("all", "sigs")
@@ -385,7 +385,7 @@ metrics_ctes("all")
 
 @query("metrics_all", METRICS_SQL.format(p="all"))
 def metrics_all(spark, sf):
-    return K.metrics(K.equity_curve(G.compute_signals(T.bars(spark, sf))))
+    return shown(K.metrics(K.equity_curve(G.compute_signals(T.bars(spark, sf))), rounded=False))
 
 
 @query("trades_all", TRADE_SQL.format(p="all", fee=0.0))
@@ -416,12 +416,12 @@ def ranged_turtle(spark, sf, mode):
 
 @query("metrics_volatility_sizing", METRICS_SQL.format(p="vol"))
 def metrics_volatility_sizing(spark, sf):
-    return K.metrics(ranged_turtle(spark, sf, "volatility"))
+    return shown(K.metrics(ranged_turtle(spark, sf, "volatility"), rounded=False))
 
 
 @query("metrics_fixed_sizing", METRICS_SQL.format(p="fix"))
 def metrics_fixed_sizing(spark, sf):
-    return K.metrics(ranged_turtle(spark, sf, "fixed_frac"))
+    return shown(K.metrics(ranged_turtle(spark, sf, "fixed_frac"), rounded=False))
 
 
 @query("trades_volatility_sizing", TRADE_SQL.format(p="vol", fee=FEE))
