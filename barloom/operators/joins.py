@@ -74,14 +74,18 @@ def expand_intervals(daily: DataFrame, time: str = TIME, last_day=None) -> DataF
     )
 
 
-def asof_calendar(panel: DataFrame, daily: DataFrame, cols: Sequence[str], time: str = TIME) -> DataFrame:
+def asof_calendar(
+    panel: DataFrame, daily: DataFrame, cols: Sequence[str], time: str = TIME, day: str = TIME
+) -> DataFrame:
     """Panel rows with the newest value of a keyless daily series at or before their day.
 
+    ``time`` is the day of a panel row, ``day`` that of the series.
+
     Days after the end of the series take its last row, which a scalar subquery
     supplies.  The filled series has one row per calendar day, so its size is
     bounded by the calendar and it is broadcast.
     """
-    daily = daily.select(time, *cols)
+    daily = daily.select(F.col(day).alias(time), *cols)
     last = one_per_day(daily, time).agg(F.max(F.struct(time, *cols)).alias("s")).scalar()
     filled = expand_intervals(daily, time).select(time, F.struct(*cols).alias("_hit"))
     joined = panel.join(F.broadcast(filled), time, "left").withColumn("_last", last)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, strategies, scans  # noqa: F401
+from . import indicators, strategies, scans, chains  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -117,7 +117,7 @@ cte(
 SELECT symbol, asof_dt, asof_dt + CASE WHEN far = 0 THEN 12 ELSE 47 END AS expiry, opt_side,
        round(spot * (k + 40)::DOUBLE / 50, 2) AS strike,
        CASE WHEN k = 5 THEN 0.03::DOUBLE
-            ELSE round(0.08::DOUBLE + d / volume / 50 + greatest(0, 10 - k)::DOUBLE / 50, 4) END AS implied_vol,
+            ELSE round(0.08::DOUBLE + d / volume / 50 + greatest(0, 10 - k)::DOUBLE / 50, 10) END AS implied_vol,
        open_interest, volume
 FROM contracts JOIN spots USING (symbol)
 """,

@@ -102,7 +102,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = contracts.join(last_close(bars(spark, sf_dir)), "symbol")
     k = F.col("_k")
-    iv = F.round(0.08 + F.col("_d") / F.col("volume") / 50 + F.greatest(F.lit(0), 10 - k) / 50, 4)
+    iv = F.round(0.08 + F.col("_d") / F.col("volume") / 50 + F.greatest(F.lit(0), 10 - k) / 50, 10)
     return joined.select(
         "symbol",
         "asof_dt",
