@@ -16,20 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.windows import BY, START, TIME
 
 
-def _stacked(left: DataFrame, right: DataFrame, cols: Sequence[str], by, time: str, first: str) -> DataFrame:
-    """Both sides in one frame; ``first`` names the side that comes first on equal times."""
-    order = {"right": 0, "left": 1} if first == "right" else {"left": 0, "right": 1}
+def _stacked(left: DataFrame, right: DataFrame, cols: Sequence[str], by, time: str) -> DataFrame:
+    """Both sides in one frame; on equal times the right side comes first."""
     lhs = left.select(
         *by,
         time,
-        F.lit(order["left"]).alias("_side"),
+        F.lit(1).alias("_side"),
         F.struct(*left.columns).alias("_left"),
         F.lit(None).cast(right.select(F.struct(*cols).alias("s")).schema["s"].dataType).alias("_right"),
     )
     rhs = right.select(
         *by,
         time,
-        F.lit(order["right"]).alias("_side"),
+        F.lit(0).alias("_side"),
         F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_left"),
         F.struct(*cols).alias("_right"),
     )
@@ -38,17 +37,21 @@ def _stacked(left: DataFrame, right: DataFrame, cols: Sequence[str], by, time: s
 
 def asof_backward(left, right, cols: Sequence[str], by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
     """Each left row with the newest right row at or before its time."""
-    both = _stacked(left, right, cols, by, time, first="right")
+    both = _stacked(left, right, cols, by, time)
     w = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(START, 0)
     both = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w))
     return both.filter("_left is not null").select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in cols])
 
 
 def asof_forward(left, right, cols: Sequence[str], by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
-    """Each left row with the oldest right row strictly after its time."""
-    both = _stacked(left, right, cols, by, time, first="right")
-    w = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumn("_hit", F.first("_right", ignorenulls=True).over(w))
+    """Each left row with the oldest right row strictly after its time.
+
+    Walks the series backwards, so the frame grows by one row at a time; a frame
+    that ends at the last row would be evaluated anew for every row.
+    """
+    both = _stacked(left, right, cols, by, time)
+    w = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col("_side").desc()).rowsBetween(START, -1)
+    both = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w))
     return both.filter("_left is not null").select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in cols])
 
 
