@@ -23,6 +23,11 @@ class Retune:
     proposal: DataFrame
     regimes: DataFrame
     changes: DataFrame
+    scored: DataFrame
+
+    def release(self) -> None:
+        """Give back the storage of the scored predictions, which all four tables read."""
+        self.scored.unpersist()
 
 
 def retune(
@@ -38,10 +43,10 @@ def retune(
     baseline = L.weight_table(spark) if baseline is None else baseline
     fit = L.eligibility(log, as_of)
     recent = L.score_predictions(L.in_window(log, as_of), bars)
-    recent = recent.withColumn("_ok", fit.select("eligible").scalar()).filter("_ok").drop("_ok")
+    recent = recent.withColumn("_ok", fit.select("eligible").scalar()).filter("_ok").drop("_ok").persist()
     proposal = L.proposed_weights(weights, L.leave_one_out(recent, weights))
     check = L.holdout_check(recent, proposal, baseline, min_accuracy)
     one = lambda df, c: df.select(c).scalar()
     report = fit.withColumns({c: one(check, c) for c in ("held_out", "baseline_accuracy", "proposed_accuracy", "passed")})
     report = report.withColumn("passed", F.coalesce("passed", F.lit(False)))
-    return Retune(report, proposal, L.regime_adjustments(recent), L.weight_changes(proposal, check))
+    return Retune(report, proposal, L.regime_adjustments(recent), L.weight_changes(proposal, check), recent)

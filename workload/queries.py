@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, strategies, scans, chains, learning, sweeps  # noqa: F401
+from . import indicators, strategies, scans, chains, learning, sources, sweeps  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
