@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barloom.operators import backtest as K
 from barloom.operators import bars as B
 from barloom.operators import signals as G
-from barloom.operators.indicators import add_atr, add_drawdown, add_rolling_sharpe
+from barloom.operators.indicators import add_drawdown, add_rolling_sharpe
+from barloom.plans.backtest import backtest
 
 from . import tables as T
 from .registry import query, rl, shown
@@ -396,9 +397,11 @@ def trades_all(spark, sf):
 FEE, RISK = 0.001, 0.1
 cte(
     "sig_vol",
-    """
-SELECT s.symbol, 'Turtle' AS strategy, s.dt, a.close, s.signal, a.atr FROM sig_tu s JOIN atr14 a ON a.symbol = s.symbol AND a.dt = s.dt
-WHERE a.n >= 60 AND s.dt >= DATE '1996-01-01' AND s.dt <= DATE '2000-12-31'
+    f"""
+SELECT symbol, 'Turtle' AS strategy, dt, close, signal, {rl('avg', 'tr', 14)} AS atr
+FROM (SELECT *, greatest(high - low, abs(high - rpc), abs(low - rpc)) AS tr
+      FROM (SELECT x.*, s.signal, lag(x.close) OVER (PARTITION BY x.symbol ORDER BY x.dt) AS rpc FROM b x JOIN sig_tu s ON s.symbol = x.symbol AND s.dt = x.dt
+            WHERE x.n >= 60 AND x.dt >= DATE '1996-01-01' AND x.dt <= DATE '2000-12-31'))
 """,
 )
 add_book("vol", "sig_vol", FEE, f"CASE WHEN atr > 0 THEN least(1.0::DOUBLE, {RISK} / (atr * 2 / close)) ELSE {RISK} END")
@@ -408,25 +411,24 @@ metrics_ctes("fix")
 
 
 def ranged_turtle(spark, sf, mode):
-    panel = add_atr(T.bars(spark, sf))
-    s = G.compute_signals(panel, ["Turtle"], keep=("close", "atr"))
-    s = B.between(s, "1996-01-01", "2000-12-31")
-    return K.equity_curve(s, commission=FEE, mode=mode, risk=RISK)
+    return backtest(
+        T.bars(spark, sf), ["Turtle"], "1996-01-01", "2000-12-31", commission=FEE, mode=mode, risk=RISK
+    )
 
 
 @query("metrics_volatility_sizing", METRICS_SQL.format(p="vol"))
 def metrics_volatility_sizing(spark, sf):
-    return shown(K.metrics(ranged_turtle(spark, sf, "volatility"), rounded=False))
+    return shown(K.metrics(ranged_turtle(spark, sf, "volatility").curve, rounded=False))
 
 
 @query("metrics_fixed_sizing", METRICS_SQL.format(p="fix"))
 def metrics_fixed_sizing(spark, sf):
-    return shown(K.metrics(ranged_turtle(spark, sf, "fixed_frac"), rounded=False))
+    return shown(K.metrics(ranged_turtle(spark, sf, "fixed_frac").curve, rounded=False))
 
 
 @query("trades_volatility_sizing", TRADE_SQL.format(p="vol", fee=FEE))
 def trades_volatility_sizing(spark, sf):
-    return K.round_trips(ranged_turtle(spark, sf, "volatility"))
+    return ranged_turtle(spark, sf, "volatility").trades
 
 
 @query(
