@@ -297,33 +297,38 @@ def iv_skew(quotes: DataFrame, by: Sequence[str] = CHAIN) -> DataFrame:
     )
 
 
-def recent_volatility(
-    panel: DataFrame, lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW, by=("symbol",), time=TIME
-) -> DataFrame:
-    """Per key: range volatility over two windows and close-to-close volatility over ``lookback`` bars."""
+def add_volatility_inputs(panel, by=("symbol",), time=TIME) -> DataFrame:
+    """Per bar: ``_ago`` (bars before the last one), log return, squared log range."""
     w = series(by, time)
-    panel = panel.withColumns(
+    return panel.withColumns(
         {
-            "_i": F.count("*").over(whole(by)) - row_index(w) - 1,
+            "_ago": F.count("*").over(whole(by)) - row_index(w) - 1,
             "_lr": F.log(F.col("close") / F.lag("close").over(w)),
             "_hl": F.pow(F.log(F.col("high") / F.col("low")), 2),
         }
-    ).filter(F.col("_i") < max(lookback, window))
-    ago = F.col("_i")
-    out = panel.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.avg(F.when(ago < window, F.col("_hl"))).alias("_short"),
-        F.avg(F.when(ago < lookback, F.col("_hl"))).alias("_long"),
-        F.stddev_samp(F.when(ago < lookback - 1, F.col("_lr"))).alias("_cc"),
-    )
-    return out.select(
-        *by,
-        F.when(F.col("_n") >= window, parkinson(F.col("_short"))).alias("parkinson_short"),
-        F.when(F.col("_n") >= lookback, parkinson(F.col("_long"))).alias("parkinson_long"),
-        F.when(F.col("_n") >= lookback, F.col("_cc") * math.sqrt(K.TRADING_DAYS)).alias("close_to_close"),
     )
 
 
+def volatility_aggregates(lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW) -> list[Column]:
+    """Range volatility over two windows and close-to-close volatility, null for short series."""
+    ago, year = F.col("_ago"), math.sqrt(K.TRADING_DAYS)
+    n, mean = F.count("*"), lambda k: F.avg(F.when(ago < k, F.col("_hl")))
+    cc = F.stddev_samp(F.when(ago < lookback - 1, F.col("_lr")))
+    return [
+        F.when(n >= window, parkinson(mean(window))).alias("parkinson_short"),
+        F.when(n >= lookback, parkinson(mean(lookback))).alias("parkinson_long"),
+        F.when(n >= lookback, cc * year).alias("close_to_close"),
+    ]
+
+
+def recent_volatility(
+    panel: DataFrame, lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW, by=("symbol",), time=TIME
+) -> DataFrame:
+    """Volatility of the newest bars of each key."""
+    rows = add_volatility_inputs(panel, by, time).filter(F.col("_ago") < max(lookback, window))
+    return rows.groupBy(*by).agg(*volatility_aggregates(lookback, window))
+
+
 def vrp_columns(iv: Column, low: float = K.VRP_MIN, high: float = K.VRP_MAX) -> dict[str, Column]:
     """Variance risk premium from ``recent_volatility`` columns: how far to shrink implied volatility."""
     park, cc = F.col("parkinson_long"), F.col("close_to_close")

@@ -11,8 +11,7 @@ from .. import constants as K
 from ..functions.windows import TIME
 from . import options as O
 from .joins import asof_calendar
-from .scores import newest
-from .structure import add_fractal_dimension, level_arrays, market_regime
+from .structure import add_fractal_dimension, add_pivots, market_regime
 
 
 def _lookup(key: Column, values: Mapping[str, float], default: float) -> Column:
@@ -104,15 +103,15 @@ def rescaled(level: Column, ratio: Column, proxy_used: Column) -> Column:
 
 
 def price_structure(panel: DataFrame, by=("symbol",), time=TIME) -> DataFrame:
-    """Per symbol: dimension and regime of the last bar, newest pivots, recent volatility."""
-    last = newest(add_fractal_dimension(panel, by=by, time=time), by, time)
-    last = last.select(*by, F.coalesce(F.col("fd"), F.lit(1.5)).alias("fd"))
-    levels = level_arrays(panel, by=by, time=time).select(
-        *by,
-        F.get("supports", 0)["price"].alias("support"),
-        F.get("resistances", 0)["price"].alias("resistance"),
+    """Per symbol: dimension of the last bar, newest pivots, recent volatility, from one pass over the panel."""
+    rows = O.add_volatility_inputs(add_pivots(add_fractal_dimension(panel, by=by, time=time), by=by, time=time), by, time)
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(time, c)))[c]
+    return rows.groupBy(*by).agg(
+        F.coalesce(F.max_by("fd", time), F.lit(1.5)).alias("fd"),
+        newest("pivot_low").alias("support"),
+        newest("pivot_high").alias("resistance"),
+        *O.volatility_aggregates(),
     )
-    return last.join(levels, list(by), "left").join(O.recent_volatility(panel, by=by, time=time), list(by), "left")
 
 
 def evidence_rows(rows: DataFrame, by=O.CHAIN) -> DataFrame:

@@ -166,17 +166,24 @@ def fractal_base(
     ).drop("_i", "_top_now", "pivot_high", "pivot_low")
 
 
-def fractal_signal(
+def changes(panel, state: str, by=BY, time=TIME) -> DataFrame:
+    """``signal`` as the change of a 0/1 state that starts at 0; the state column is dropped."""
+    change = F.col(state) - F.lag(state, 1, 0).over(series(by, time))
+    return panel.withColumn("signal", change.cast("int")).drop(state)
+
+
+def fractal_state(
     panel, trending: Column, choppy: Column, recent: Column, above_sma: Column, trend_ok: Column, by=BY, time=TIME
 ) -> DataFrame:
-    """Run the in/out automaton of the fractal rule over ``fractal_base`` columns."""
-    w = series(by, time)
+    """Run the in/out automaton of the fractal rule over ``fractal_base`` columns: ``state`` 0/1."""
     enter = F.col("active") & recent & holds(F.col("fd") < trending) & F.col("bounced") & trend_ok & above_sma
     leave = F.col("active") & (F.col("broken") | holds(F.col("fd") > choppy) | F.col("rejected"))
     panel = panel.withColumns({"_enter": enter, "_leave": leave})
-    panel = panel.withColumn("_state", two_state("_enter", "_leave", w))
-    change = F.col("_state") - F.lag("_state", 1, 0).over(w)
-    return panel.withColumn("signal", change.cast("int")).drop("_enter", "_leave", "_state")
+    return panel.withColumn("state", two_state("_enter", "_leave", series(by, time))).drop("_enter", "_leave")
+
+
+def fractal_signal(panel, *conditions: Column, by=BY, time=TIME) -> DataFrame:
+    return changes(fractal_state(panel, *conditions, by=by, time=time), "state", by, time)
 
 
 def fractal(
@@ -205,8 +212,8 @@ def fractal(
         F.col(f"recent_{lookback}"),
         F.col(f"above_sma_{sma_filter}"),
         F.col("weekly_trend") >= 0,
-        by,
-        time,
+        by=by,
+        time=time,
     )
     return panel.select(*kept, "signal")
 
@@ -236,16 +243,17 @@ def ensemble_votes(
     )
 
 
-def ensemble_signal(panel, threshold: int | Column, by=BY, time=TIME) -> DataFrame:
-    """Enter at ``threshold`` votes, leave below max(1, threshold - 1)."""
-    w = series(by, time)
+def ensemble_state(panel, threshold: int | Column, by=BY, time=TIME) -> DataFrame:
+    """In at ``threshold`` votes, out below max(1, threshold - 1): ``state`` 0/1."""
     t = F.lit(threshold) if isinstance(threshold, int) else threshold
     v = F.col("votes_buy")
     decision = F.when(v >= t, 1).when(v < F.greatest(F.lit(1), t - 1), -1).otherwise(0)
     panel = panel.withColumn("_d", decision)
-    panel = panel.withColumn("_state", held("_d", w))
-    change = F.col("_state") - F.lag("_state", 1, 0).over(w)
-    return panel.withColumn("signal", change.cast("int")).drop("_d", "_state")
+    return panel.withColumn("state", held("_d", series(by, time))).drop("_d")
+
+
+def ensemble_signal(panel, threshold: int | Column, by=BY, time=TIME) -> DataFrame:
+    return changes(ensemble_state(panel, threshold, by, time), "state", by, time)
 
 
 def ensemble(

@@ -49,6 +49,10 @@ def last_day(spark, sf):
     return preds(spark, sf).agg(F.max("date").alias("d")).scalar()
 
 
+def recent_scored(spark, sf):
+    return L.score_predictions(L.in_window(preds(spark, sf), last_day(spark, sf)), T.bars(spark, sf))
+
+
 @query("pred_latest", "SELECT date, ticker, timestamp, spot_price, floor, ceiling, bias, vix, regime FROM preds")
 def pred_latest(spark, sf):
     cols = ["date", "ticker", "timestamp", "spot_price", "floor", "ceiling", "bias", "vix", "regime"]
@@ -163,13 +167,13 @@ cte("loo_cur", loo_sql("cur_w"))
 
 @query("leave_one_out", "SELECT name, score FROM loo")
 def leave_one_out(spark, sf):
-    recent = L.in_window(scored(spark, sf), last_day(spark, sf))
+    recent = recent_scored(spark, sf)
     return L.leave_one_out(recent, L.weight_table(spark))
 
 
 @query("leave_one_out_current", "SELECT name, score FROM loo_cur")
 def leave_one_out_current(spark, sf):
-    recent = L.in_window(scored(spark, sf), last_day(spark, sf))
+    recent = recent_scored(spark, sf)
     return L.leave_one_out(recent, L.current_weights(spark, T.weight_changes(spark, sf)))
 
 
@@ -185,7 +189,7 @@ FROM (SELECT name, w, min(score) OVER () = max(score) OVER () AS flat, greatest(
 
 @query("proposed_weights", "SELECT name, w AS old_weight, round(p, 6) AS weight FROM prop")
 def proposed_weights(spark, sf):
-    recent = L.in_window(scored(spark, sf), last_day(spark, sf))
+    recent = recent_scored(spark, sf)
     w = L.weight_table(spark)
     return shown(L.proposed_weights(w, L.leave_one_out(recent, w)))
 
@@ -199,7 +203,7 @@ cte("held", "SELECT * FROM recent_n WHERE j > floor(round(total * 0.8, 6))")
 
 @query("holdout_rows", "SELECT date, ticker FROM held")
 def holdout_rows(spark, sf):
-    recent = L.in_window(scored(spark, sf), last_day(spark, sf))
+    recent = recent_scored(spark, sf)
     return L.holdout_rows(recent).select("date", "ticker")
 
 
@@ -217,7 +221,7 @@ FROM held CROSS JOIN (SELECT max(CASE WHEN name = 'iv_range' THEN p END) AS iv,
     "SELECT k AS held_out, ba AS baseline_accuracy, pa AS proposed_accuracy, pa >= ba AND pa >= 65 AS passed FROM hold",
 )
 def holdout_check(spark, sf):
-    recent = L.in_window(scored(spark, sf), last_day(spark, sf))
+    recent = recent_scored(spark, sf)
     w = L.weight_table(spark)
     return L.holdout_check(recent, L.proposed_weights(w, L.leave_one_out(recent, w)), w)
 

@@ -31,11 +31,11 @@ def proxy_symbols(spark, sf):
 @query(
     "universe_bars",
     """
-SELECT symbol, dt, close FROM bars WHERE symbol IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 12)
+SELECT symbol, dt, close FROM bars WHERE symbol IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)
 """,
 )
 def universe_bars(spark, sf):
-    listing = T.table(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").cast("string").alias("code"))
+    listing = T.table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("code"))
     return in_universe(T.bars(spark, sf), SB.universe(spark, listing, "code")).select("symbol", "dt", "close")
 
 
