@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import neardup as ND
 from . import toxicity as TX
 
 QUERIES = {}
@@ -47,3 +48,8 @@ def toxicity(spark, sf):
         F.when(score >= 0.3, 1).otherwise(0).alias("predicted"),
         F.col("toxicity.n_words").alias("n_words"),
     )
+
+
+@query("op6_near_duplicates")
+def near_duplicates(spark, sf):
+    return ND.near_duplicates(documents(spark, sf)).select(F.col("seq").alias("doc_id"), "class_id")
