@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import neardup as ND
+from . import passages as PA
 from . import toxicity as TX
 
 QUERIES = {}
@@ -53,3 +54,9 @@ def toxicity(spark, sf):
 @query("op6_near_duplicates")
 def near_duplicates(spark, sf):
     return ND.near_duplicates(documents(spark, sf)).select(F.col("seq").alias("doc_id"), "class_id")
+
+
+@query("op1_shared_passages")
+def shared_passages(spark, sf):
+    found = PA.shared_passages(documents(spark, sf))
+    return found.withColumnsRenamed({"seq": "doc_id", "source": "source_doc_id"})
