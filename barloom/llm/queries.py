@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import mixing as MX
 from . import neardup as ND
 from . import passages as PA
 from . import toxicity as TX
@@ -60,3 +61,12 @@ def near_duplicates(spark, sf):
 def shared_passages(spark, sf):
     found = PA.shared_passages(documents(spark, sf))
     return found.withColumnsRenamed({"seq": "doc_id", "source": "source_doc_id"})
+
+
+@query("op8_mixing")
+def mixing(spark, sf):
+    notes = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("doc_id").alias("seq"), F.col("text").alias("reason"), F.col("source").alias("weight_name")
+    )
+    mix = MX.mix_sources(notes)
+    return mix.select(F.col("seq").alias("doc_id"), "size", "source_size", "target", "taken", F.col("weight_name").alias("source"))
