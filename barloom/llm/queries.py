@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import mixing as MX
 from . import neardup as ND
 from . import passages as PA
+from . import pieces as SP
 from . import toxicity as TX
 
 QUERIES = {}
@@ -70,3 +72,10 @@ def mixing(spark, sf):
     )
     mix = MX.mix_sources(notes)
     return mix.select(F.col("seq").alias("doc_id"), "size", "source_size", "target", "taken", F.col("weight_name").alias("source"))
+
+
+@query("op5_pieces")
+def pieces(spark, sf):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = SP.with_round_trip(SP.encode_pieces(documents(spark, sf), model), model)
+    return coded.select(F.col("seq").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
