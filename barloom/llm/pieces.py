@@ -69,8 +69,10 @@ class Pieces:
         self.unknown = sp.unk_id()
         self.penalty = min(self.scores.values()) - 10.0
         self.longest = max(map(len, self.ids))
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: 2: a piece; 1: only the start of one.
+        self.kind = {p[:n]: 1 for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, 2)
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.words = _WordIds(self)
 
     def merged(self, text: str) -> list[str]:
@@ -87,13 +89,20 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
+    def after(self, a: str) -> dict[str, bool]:
+        """What is known of the pieces behind a piece."""
+        if self.n_fits > MEMO:
+            self.fits.clear()
+            self.n_fits = 0
+        return self.fits.setdefault(a, {})
+
+    def neighbours(self, a: str, b: str, known: dict[str, bool] | None = None) -> bool:
         """Do the merges of a and b leave exactly a and b?"""
-        got = self.fits.get((a, b))
+        known = self.after(a) if known is None else known
+        got = known.get(b)
         if got is None:
-            if len(self.fits) > MEMO:
-                self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            self.n_fits += 1
+            got = known[b] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
     def arcs(self, text: str, at: int) -> Iterator[str]:
@@ -101,9 +110,10 @@ class Pieces:
         yield text[at]
         for end in range(at + 2, min(len(text), at + self.longest) + 1):
             p = text[at:end]
-            if p not in self.starts:
+            kind = self.kind.get(p)
+            if kind is None:
                 return
-            if p in self.ids:
+            if kind == 2:
                 yield p
 
     def forward(self, text: str, end: int, entry: State) -> list[tuple[float, str] | None]:
@@ -116,26 +126,26 @@ class Pieces:
         piece, reach = entry
         if reach <= n:
             best[reach] = (0.0, piece)
-        starts, ids, fits, scores, unigram = self.starts, self.ids, self.fits, self.scores, self.unigram
+        kinds, scores, unigram, longest = self.kind.get, self.scores, self.unigram, self.longest
         for b in range(reach, end):
             here = best[b]
             if here is None:
                 continue
             score, last = here
-            for e in range(b + 1, min(n, b + self.longest) + 1):
+            s = score
+            known = self.after(last)
+            fits = known.get
+            for e in range(b + 1, min(n, b + longest) + 1):
                 p = text[b:e]
-                if p not in ids:
-                    if e > b + 1:
-                        if p not in starts:
-                            break
-                        continue
+                kind = kinds(p)
+                if kind != 2 and e > b + 1:
+                    if kind is None:
+                        break
+                    continue
                 if unigram:
                     s = score + scores.get(p, self.penalty)
-                else:
-                    ok = fits.get((last, p))
-                    if not (self.neighbours(last, p) if ok is None else ok):
-                        continue
-                    s = score
+                elif not (fits(p) or (fits(p) is None and self.neighbours(last, p, known))):
+                    continue
                 if best[e] is None or s > best[e][0]:
                     best[e] = (s, p)
         return best

@@ -9,6 +9,7 @@ from . import mixing as MX
 from . import neardup as ND
 from . import passages as PA
 from . import pieces as SP
+from . import token_counts as TC
 from . import toxicity as TX
 
 QUERIES = {}
@@ -79,3 +80,10 @@ def pieces(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = SP.with_round_trip(SP.encode_pieces(documents(spark, sf), model), model)
     return coded.select(F.col("seq").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
+
+
+@query("op2_token_counts")
+def token_counts(spark, sf):
+    counted = TC.add_token_counts(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+    n_bytes = F.coalesce(F.octet_length("reason"), F.lit(0)).cast("bigint")
+    return counted.select(F.col("seq").alias("doc_id"), n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
