@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import fingerprints as FP
 from . import mixing as MX
 from . import neardup as ND
 from . import passages as PA
@@ -87,3 +88,10 @@ def token_counts(spark, sf):
     counted = TC.add_token_counts(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
     n_bytes = F.coalesce(F.octet_length("reason"), F.lit(0)).cast("bigint")
     return counted.select(F.col("seq").alias("doc_id"), n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op9_fingerprints")
+def fingerprints(spark, sf):
+    pairs = FP.edited_fingerprints(documents(spark, sf))
+    sha = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
+    return pairs.select(F.col("seq").alias("doc_id"), "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
