@@ -11,6 +11,7 @@ from . import neardup as ND
 from . import passages as PA
 from . import pieces as SP
 from . import token_counts as TC
+from . import topk as TK
 from . import toxicity as TX
 
 QUERIES = {}
@@ -95,3 +96,23 @@ def fingerprints(spark, sf):
     pairs = FP.edited_fingerprints(documents(spark, sf))
     sha = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
     return pairs.select(F.col("seq").alias("doc_id"), "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query(
+    "op3_top_k",
+    """
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.w, c.w)]) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+""",
+)
+def top_k(spark, sf):
+    finite = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").filter(finite)
+    factors = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64.0)).alias("factors")
+    rows = rows.select(F.col("vec_id").alias("seq"), factors)
+    found = TK.top_k(rows, rows.filter("seq % 20 = 0"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("seq").alias("vec_id"), "score")
