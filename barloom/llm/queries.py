@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import fingerprints as FP
+from . import fixity as FX
 from . import mixing as MX
 from . import neardup as ND
 from . import passages as PA
@@ -116,3 +117,31 @@ def top_k(spark, sf):
     rows = rows.select(F.col("vec_id").alias("seq"), factors)
     found = TK.top_k(rows, rows.filter("seq % 20 = 0"))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("seq").alias("vec_id"), "score")
+
+
+#: Pages of one archive file, and the damage done to the second replica: one byte of these, no record of those.
+FILE_PAGES = 1000
+DAMAGED, LOST = "page_id % 97 = 13", "page_id % 211 = 40"
+
+_ARCHIVE_SQL = f"""
+WITH body AS (SELECT page_id, page_id // {FILE_PAGES} AS file, coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
+sized AS (SELECT page_id, file, octet_length(encode(body)) AS n,
+          octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:snapshot:' || page_id || '>'
+          || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ')) + 4 + 4 AS fixed FROM body),
+placed AS (SELECT page_id, file, CAST(fixed + n + length(CAST(n AS VARCHAR)) AS BIGINT) AS length FROM sized),
+laid AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM placed)
+SELECT file, start AS "offset", length, CASE WHEN {LOST} THEN NULL ELSE length END AS other_length, CASE WHEN {LOST} THEN 'missing' ELSE 'changed' END AS fault
+FROM laid WHERE {DAMAGED} OR {LOST}
+"""
+
+
+@query("op7_fixity", _ARCHIVE_SQL)
+def fixity(spark, sf):
+    """The archive of all pages against a replica of it that is damaged by rule."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").filter("page_id is not null")
+    rows = pages.select("page_id", F.floor(F.col("page_id") / FILE_PAGES).alias("file"), FX.archive_record("url", "html", "page_id").alias("payload"))
+    archive = FX.layout(rows, "file", "page_id", F.length("payload"))
+    n = F.length("payload")
+    flipped = F.concat(F.substring("payload", 1, 40), F.lit(b"?"), F.substring(F.col("payload"), F.lit(42), n))
+    replica = archive.filter(f"not ({LOST})").withColumn("payload", F.when(F.expr(DAMAGED), flipped).otherwise(F.col("payload")))
+    return FX.audit(archive, replica)
