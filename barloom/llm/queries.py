@@ -12,6 +12,7 @@ from . import neardup as ND
 from . import passages as PA
 from . import pieces as SP
 from . import token_counts as TC
+from . import token_files as TF
 from . import topk as TK
 from . import toxicity as TX
 
@@ -145,3 +146,9 @@ def fixity(spark, sf):
     flipped = F.concat(F.substring("payload", 1, 40), F.lit(b"?"), F.substring(F.col("payload"), F.lit(42), n))
     replica = archive.filter(f"not ({LOST})").withColumn("payload", F.when(F.expr(DAMAGED), flipped).otherwise(F.col("payload")))
     return FX.audit(archive, replica)
+
+
+@query("op4_token_files")
+def token_files(spark, sf):
+    path = TF.write_token_files(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return TF.token_directory(spark, path).withColumnRenamed("k", "doc_id")
