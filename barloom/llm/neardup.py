@@ -24,12 +24,24 @@ def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams(_HASHES.of(text.lower().split()), words), return_counts=True)
 
 
+def _cut(h: np.ndarray) -> bytes:
+    """The upper six bytes of each hash: with the bucket, enough to tell shingles apart."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _whole(b: bytes, bucket: int) -> np.ndarray:
+    """Hashes again, of the six bytes and the bucket."""
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return mix(out.view(np.uint64).ravel() + np.uint64(bucket))
+
+
 def _deal(words: int, buckets: int):
     """Texts -> (bucket, ids, shingle totals, counts, shingles, frequencies) of up to 256 texts each; a text once a task."""
 
     def flush(ids, sets, tfs):
         sizes = np.array([len(s) for s in sets])
-        totals = np.array([t.sum() for t in tfs], np.int64)
+        totals = np.array([t.sum() for t in tfs], np.uint32)
         h, tf = np.concatenate(sets), np.concatenate(tfs).astype(np.uint32)
         doc = np.repeat(np.arange(len(ids)), sizes)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
@@ -41,12 +53,12 @@ def _deal(words: int, buckets: int):
         for b, i, j in zip(found, start, ends):
             docs, n = np.unique(doc[i:j], return_counts=True)
             freq = tf[i:j]
-            row = (int(b), b"".join(ids[d] for d in docs), totals[docs].tobytes(), n.astype(np.uint32).tobytes(), h[i:j].tobytes(),
+            row = (int(b), b"".join(ids[d] for d in docs), totals[docs].tobytes(), n.astype(np.uint32).tobytes(), _cut(h[i:j]),
                    b"" if (freq == 1).all() else freq.tobytes())
             for c, v in zip(cols, row):
                 c.append(v)
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[1:]],
+            [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
             ["bucket", "ids", "totals", "sizes", "shingles", "tf"],
         )
 
@@ -78,8 +90,9 @@ def _shared(n_texts: int, idf_share: float):
     def weigh(bucket_rows):
         ids = np.frombuffer(b"".join(r["ids"] for r in bucket_rows), "V16")
         join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in bucket_rows), kind)
-        totals, sizes, h = join("totals", np.int64), join("sizes", np.uint32).astype(np.int64), join("shingles", np.uint64)
-        tf = np.concatenate([np.frombuffer(r["tf"], np.uint32) if r["tf"] else np.ones(len(r["shingles"]) // 8, np.uint32) for r in bucket_rows])
+        totals, sizes = join("totals", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
+        h = np.concatenate([_whole(r["shingles"], r["bucket"]) for r in bucket_rows])
+        tf = np.concatenate([np.frombuffer(r["tf"], np.uint32) if r["tf"] else np.ones(len(r["shingles"]) // 6, np.uint32) for r in bucket_rows])
         _, first = np.unique(ids, return_index=True)  # copies of a text that other tasks sent
         keep = np.zeros(len(ids), bool)
         keep[first] = True
@@ -226,7 +239,7 @@ def near_duplicates(
     texts) and 1 + ``idf_share`` (in one), counted over all distinct texts.  The share is small because in a large
     group of near copies the edits are the rare shingles: with a plain idf they would outweigh what is common.
 
-    Texts travel as hashes, dealt into ``buckets`` by shingle (eight for each shuffle partition unless given),
+    Texts travel as hashes, dealt into ``buckets`` by shingle (as many as shuffle partitions unless given),
     where document frequencies are counted.  What only one text has comes back as one private element.  Texts of
     which less than ``similarity`` is shared cannot be linked and go.  The others get ``bands`` x ``rows`` consistent
     samples; a pair of similarity 0.8 shares no band with a probability below 1e-6.  In every band group all
@@ -241,14 +254,14 @@ def near_duplicates(
     spark = notes.sparkSession
     texts = notes_of(notes, key, text).withColumn("id", text_id("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 8 * parts
+    buckets = buckets or parts
     groups = written(texts.groupBy("id").agg(F.min("k").alias("node")), "texts")
     n_texts = groups.count()
 
     dealt = texts.select("id", "t").mapInArrow(
-        _deal(words, buckets), "bucket bigint, ids binary, totals binary, sizes binary, shingles binary, tf binary"
+        _deal(words, buckets), "bucket int, ids binary, totals binary, sizes binary, shingles binary, tf binary"
     )
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = dealt.repartitionById(buckets, "bucket")
     shared = dealt.mapInArrow(_shared(n_texts, idf_share), "id binary, total bigint, shingles binary, weights binary, known bigint")
     whole = shared.groupBy("id").agg(
         F.first("total").alias("total"), F.sum("known").alias("known"), F.collect_list("shingles").alias("shingles"), F.collect_list("weights").alias("weights")
