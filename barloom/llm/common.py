@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's memo may hold before it starts anew.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,7 +115,8 @@ def connected(edges: DataFrame, a: str, b: str, rounds: Callable[[int], None] |
             return labels
 
 
-def each_text(batches: Iterator, text: str = "t") -> Iterator[tuple]:
-    """(batch, texts) of Arrow batches."""
+def sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in smaller ones, so that few long texts are Python objects at a time."""
     for batch in batches:
-        yield batch, batch.column(text).to_pylist()
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

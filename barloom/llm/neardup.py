@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, binaries, connected, grams, mix, notes_of, text_id, written
+from .common import WordHashes, binaries, connected, grams, mix, notes_of, sliced, text_id, written
 
 #: Texts whose shingles travel together.
 _BATCH = 256
@@ -65,7 +65,7 @@ def _deal(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids, sets, tfs = [], [], []
-        for batch in batches:
+        for batch in sliced(batches):
             for i, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
                 if i in seen:
                     continue
@@ -166,7 +166,7 @@ def _sign(bands: int, rows: int, similarity: float, idf_share: float):
     """Gathered texts -> weights by shingle and a hash for each band; texts too little of which is shared go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(6)]
             for r in batch.to_pylist():
                 h = np.frombuffer(b"".join(r["shingles"]), np.uint64)
