@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's memo may hold before it starts anew.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +69,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One memo a worker process, whatever operators it runs.
+HASHES = WordHashes()
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """The hash of every run of n words; of all words, if there are fewer."""
     n = min(n, len(hashes))

@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, binaries, connected, grams, mix, notes_of, sliced, text_id, written
+from .common import HASHES, binaries, connected, grams, mix, notes_of, sliced, text_id, written
 
 #: Texts whose shingles travel together.
 _BATCH = 256
-_HASHES = WordHashes()
 
 
 def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (hashes of runs of lower-case words) and how often each occurs."""
-    return np.unique(grams(_HASHES.of(text.lower().split()), words), return_counts=True)
+    return np.unique(grams(HASHES.of(text.lower().split()), words), return_counts=True)
 
 
 def _cut(h: np.ndarray) -> bytes:

@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, grams, mix, notes_of, sliced, written
+from .common import HASHES, grams, mix, notes_of, sliced, written
 
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
-_HASHES = WordHashes()
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +53,7 @@ def _seeds(k: int, window: int):
                 words = text.lower().split()
                 if key is None or len(words) < k:
                     continue
-                h = grams(_HASHES.of(words), k)
+                h = grams(HASHES.of(words), k)
                 at = minimizers(h, window)
                 # In repetitive text the n-th occurrence of a seed is a seed of its own: one partner each, no squares.
                 seed = mix(h[at] + occurrences(h[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

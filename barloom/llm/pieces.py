@@ -166,7 +166,23 @@ class Pieces:
         return out
 
     def transfer(self, text: str, length: int, entries: Sequence[State]) -> Matrix:
-        """Best scores from each entry state to each state at ``length``; ``text`` goes on behind it."""
+        """Best scores from each entry state to each state at ``length``; ``text`` goes on behind it.
+
+        Where a word ends, all paths meet in one state: entries matter up to the first such place only, exits from the last.
+        """
+        stops = [s for s in self.stops(text[:length]) if s >= self.longest]
+        if len(stops) > 1:
+            first, last = stops[0], stops[-1]
+            middle = self.forward(text[first:last], last - first, START)[-1][0] if self.unigram else 0.0
+            ends = {x: middle + s for x, s in self._transfer(text[last:], length - last, [START])[START].items()}
+            out: Matrix = {}
+            for entry in entries:
+                met = self.forward(text[:first], first, entry)[-1]
+                out[entry] = {x: met[0] + s for x, s in ends.items()} if met else {}
+            return out
+        return self._transfer(text, length, entries)
+
+    def _transfer(self, text: str, length: int, entries: Sequence[State]) -> Matrix:
         out: Matrix = {}
         for entry in entries:
             row: dict[State, float] = {}
