@@ -37,26 +37,46 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ratio(a: Column | float, b: Column) -> Column:
+    """a / b; null where b is zero."""
+    return F.try_divide(a if isinstance(a, Column) else F.lit(a), b)
+
+
 def roll_count(c: str | Column, n: int, w: WindowSpec) -> Column:
     """Non-null values among the last n rows, as a difference of two running counts."""
     c = col(c)
     return F.count(c).over(running(w)) - F.count(c).over(w.rowsBetween(START, -n))
 
 
+#: Up to this many rows a frame is added up anew for every row; longer ones are differences of running sums.
+DIRECT = 250
+
+
+def _filled(value: Column, c: Column, n: int, w: WindowSpec) -> Column:
+    return F.when(roll_count(c, n, w) == n, value)
+
+
 def roll_sum(c: str | Column, n: int, w: WindowSpec) -> Column:
-    """Sum of the last n rows as a difference of running sums.
+    """Sum of the last n rows.
 
-    Spark recomputes a sliding frame for every row (n additions per row) but
-    extends a frame that starts at the first row, so this costs two additions
-    per row whatever n is.
+    A frame is summed by itself, n additions a row, so an earlier row leaves no residue; above ``DIRECT`` rows it is a difference
+    of running sums, two additions a row.
     """
     c = col(c)
+    if n <= DIRECT:
+        return _filled(F.sum(c).over(w.rowsBetween(-(n - 1), 0)), c, n, w)
     before = F.coalesce(F.sum(c).over(w.rowsBetween(START, -n)), F.lit(0.0))
-    return F.when(roll_count(c, n, w) == n, F.sum(c).over(running(w)) - before)
+    return _filled(F.sum(c).over(running(w)) - before, c, n, w)
 
 
 def roll_avg(c: str | Column, n: int, w: WindowSpec) -> Column:
-    return roll_sum(c, n, w) / F.lit(n)
+    """Mean of the last n rows; of equal values it is that value, to the last bit.
+
+    Signals compare means with each other and with prices, and n equal decimals rarely add up to n times one of them.
+    """
+    frame = w.rowsBetween(-(n - 1), 0)
+    low = F.min(col(c)).over(frame)
+    return F.when(low == F.max(col(c)).over(frame), _filled(low, col(c), n, w)).otherwise(roll_sum(c, n, w) / F.lit(n))
 
 
 def _sliding(fn, c: str | Column, n: int, w: WindowSpec) -> Column:
@@ -64,8 +84,10 @@ def _sliding(fn, c: str | Column, n: int, w: WindowSpec) -> Column:
 
 
 def roll_std(c: str | Column, n: int, w: WindowSpec) -> Column:
-    """Sample standard deviation; a sliding frame, since differences of squares cancel badly."""
-    return _sliding(F.stddev_samp, c, n, w)
+    """Sample standard deviation; a sliding frame, since differences of squares cancel badly.  Equal values have 0."""
+    frame = w.rowsBetween(-(n - 1), 0)
+    flat = F.min(col(c)).over(frame) == F.max(col(c)).over(frame)
+    return F.when(flat & (roll_count(c, n, w) == n) & F.lit(n > 1), 0.0).otherwise(_sliding(F.stddev_samp, c, n, w))
 
 
 def roll_min(c: str | Column, n: int, w: WindowSpec) -> Column:

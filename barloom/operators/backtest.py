@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import TIME, latest, row_index, running, series
+from ..functions.windows import TIME, latest, ratio, row_index, running, series
 from .signals import held
 
 KEY = ("symbol", "strategy")
@@ -41,7 +41,7 @@ def position_fraction(mode: str = "full", risk: float = 0.10, atr_mult: float =
     if mode == "fixed_frac":
         return F.lit(float(risk))
     if mode == "volatility":
-        sized = F.least(F.lit(1.0), risk / (F.col("atr") * atr_mult / F.col("close")))
+        sized = F.least(F.lit(1.0), ratio(risk, ratio(F.col("atr") * atr_mult, F.col("close"))))
         return F.when(F.col("atr") > 0, sized).otherwise(F.lit(float(risk)))
     raise ValueError(f"unknown position mode {mode!r}")
 
@@ -70,11 +70,11 @@ def equity_curve(
             "entry_price": latest(F.when(F.col("entered"), c), w),
             "entry_dt": latest(F.when(F.col("entered"), F.col(time)), w),
             "fraction": latest(F.when(F.col("entered"), F.col("_f")), w),
-            "buy_hold": initial * c / F.first("close").over(running(w)),
+            "buy_hold": ratio(initial * c, F.first("close").over(running(w))),
         }
     ).drop("_f")
     kept = 1 - commission
-    growth = c / F.col("entry_price")
+    growth = ratio(c, F.col("entry_price"))
     closed = 1 - f + f * kept * kept * growth
     df = df.withColumn("_m", F.when(F.col("exited"), closed).otherwise(F.lit(1.0)))
     df = df.withColumn("capital", initial * F.product("_m").over(running(w))).drop("_m")
@@ -83,8 +83,8 @@ def equity_curve(
         {
             "equity": F.when(inside, F.col("capital") * (1 - f + f * kept * growth)).otherwise(F.col("capital")),
             "closed_out": F.when(inside, F.col("capital") * closed).otherwise(F.col("capital")),
-            "shares": F.when(F.col("entered"), F.col("capital") * f * kept / c),
-            "pnl_pct": F.when(F.col("exited"), F.round((c - F.col("entry_price")) / F.col("entry_price") * 100, 2)),
+            "shares": F.when(F.col("entered"), ratio(F.col("capital") * f * kept, c)),
+            "pnl_pct": F.when(F.col("exited"), F.round(ratio(c - F.col("entry_price"), F.col("entry_price")) * 100, 2)),
             "duration_days": F.when(F.col("exited"), F.datediff(time, "entry_dt")),
         }
     )
@@ -114,7 +114,7 @@ def _bar_columns(curve, by, time) -> DataFrame:
     df = curve.withColumns(
         {
             "_i": row_index(w),
-            "_ret": F.col("equity") / F.lag("equity").over(w) - 1,
+            "_ret": ratio(F.col("equity"), F.lag("equity").over(w)) - 1,
             "_peak": F.max("equity").over(up),
             "_exits": F.sum(F.col("exited").cast("int")).over(up),
             "_won": won,
@@ -124,7 +124,7 @@ def _bar_columns(curve, by, time) -> DataFrame:
     under = F.col("equity") < F.col("_peak")
     return df.withColumns(
         {
-            "_dd": (F.col("equity") - F.col("_peak")) / F.col("_peak"),
+            "_dd": ratio(F.col("equity") - F.col("_peak"), F.col("_peak")),
             "_under": F.when(under, F.col("_i") - F.coalesce(latest(F.when(~under, F.col("_i")), w), F.lit(-1))),
             "_wins": F.when(
                 F.col("_won"), F.col("_exits") - F.coalesce(latest(F.when(F.col("_lost"), F.col("_exits")), w), F.lit(0))

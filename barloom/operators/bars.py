@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import BY, TIME, row_index, series, whole
+from ..functions.windows import BY, TIME, ratio, row_index, series, whole
 
 PRICES = ["open", "high", "low", "close"]
 VALUES = [*PRICES, "volume"]
@@ -25,10 +25,14 @@ def normalize_names(df: DataFrame) -> DataFrame:
 
 
 def without_nan(df: DataFrame, cols: Sequence[str] = VALUES) -> DataFrame:
-    """NaN to null: here a comparison with a missing value must not be true."""
+    """NaN and infinite values to null: a comparison with a missing value must not be true, nor a sum be lost for ever."""
     types = dict(df.dtypes)
     return df.withColumns(
-        {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in cols if types.get(c) in ("double", "float")}
+        {
+            c: F.when(F.abs(F.nanvl(F.col(c), F.lit(float("inf")))) < float("inf"), F.col(c)).cast("double")
+            for c in cols
+            if types.get(c) in ("double", "float")
+        }
     )
 
 
@@ -58,9 +62,11 @@ def trades_to_bars(
     """First / highest / lowest / last price and total size per key and bucket.
 
     ``order`` must be unique within a bucket.  Every aggregate has a fixed-size
-    partial state, so no group is ever held in one place.
+    partial state, so no group is ever held in one place; with one number or time as ``order`` it is a hash
+    aggregate, with several columns trades are sorted before they are combined.
+    Buckets below a day make long series: windows over them hold one series in one task.
     """
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     p = F.col(price).cast("double")
     return (
         trades.withColumn(time, bucket)
@@ -105,7 +111,7 @@ def monthly_returns(curve: DataFrame, value: str = "equity", by: Sequence[str] =
     """Percent change of the last value of each month."""
     months = curve.groupBy(*by, F.last_day(time).alias("month_end")).agg(F.max_by(value, time).alias("_v"))
     w = series(by, "month_end")
-    ret = (F.col("_v") / F.lag("_v").over(w) - 1) * 100
+    ret = (ratio(F.col("_v"), F.lag("_v").over(w)) - 1) * 100
     return months.withColumn("return_pct", ret).dropna(subset=["return_pct"]).drop("_v")
 
 

@@ -19,6 +19,7 @@ from ..functions.windows import (
     BY,
     TIME,
     holds,
+    ratio,
     roll_avg,
     roll_min,
     roll_std,
@@ -37,7 +38,7 @@ def add_lags(panel: DataFrame, by: Sequence[str] = BY, time: str = TIME) -> Data
     """Previous close, change, relative change, log return."""
     panel = panel.withColumn("prev_close", F.lag("close").over(series(by, time)))
     c, p = F.col("close"), F.col("prev_close")
-    return panel.withColumns({"change": c - p, "ret": c / p - 1, "log_ret": F.log(c / p)})
+    return panel.withColumns({"change": c - p, "ret": ratio(c, p) - 1, "log_ret": F.log(ratio(c, p))})
 
 
 def add_sma(panel: DataFrame, windows: Sequence[int] = (K.MA_SHORT, K.MA_LONG), by=BY, time=TIME) -> DataFrame:
@@ -52,7 +53,7 @@ def add_bollinger(panel, period: int = K.BB_PERIOD, width: float = K.BB_STD, by=
         {
             "bb_upper": F.col("bb_mid") + width * F.col("_sd"),
             "bb_lower": F.col("bb_mid") - width * F.col("_sd"),
-            "bandwidth": F.col("_sd") * 4 / F.col("bb_mid"),
+            "bandwidth": ratio(F.col("_sd") * 4, F.col("bb_mid")),
         }
     ).drop("_sd")
 
@@ -248,7 +249,7 @@ def add_realized_vol(
 ) -> DataFrame:
     """Annualised volatility of returns, and the exposure that would bring it to ``target`` (at most 3)."""
     p = F.lag("close").over(series(by, time))
-    ret = F.log(F.col("close") / p) if log else F.col("close") / p - 1
+    ret = F.log(ratio(F.col("close"), p)) if log else ratio(F.col("close"), p) - 1
     panel = panel.withColumn("_r", ret)
     panel = panel.withColumn("realized_vol", roll_std("_r", window, series(by, time)) * math.sqrt(K.TRADING_DAYS))
     rv = nonzero(F.col("realized_vol"))
@@ -261,7 +262,7 @@ def parkinson(mean_sq: Column) -> Column:
 
 
 def add_parkinson(panel, window: int = K.PARKINSON_WINDOW, by=BY, time=TIME) -> DataFrame:
-    panel = panel.withColumn("_hl", F.pow(F.log(F.col("high") / F.col("low")), 2))
+    panel = panel.withColumn("_hl", F.pow(F.log(ratio(F.col("high"), F.col("low"))), 2))
     return panel.withColumn("parkinson_vol", parkinson(roll_avg("_hl", window, series(by, time)))).drop("_hl")
 
 
@@ -282,11 +283,11 @@ def add_atr_ratio(panel, period: int = K.ATR_PERIOD, window: int = 60, by=BY, ti
 
 def add_drawdown(curve, value: str = "equity", by=BY, time=TIME) -> DataFrame:
     curve = curve.withColumn("peak", F.max(value).over(running(series(by, time))))
-    return curve.withColumn("drawdown", (F.col(value) - F.col("peak")) / F.col("peak"))
+    return curve.withColumn("drawdown", ratio(F.col(value) - F.col("peak"), F.col("peak")))
 
 
 def add_rolling_sharpe(curve, value: str = "equity", window: int = 63, by=BY, time=TIME) -> DataFrame:
     w = series(by, time)
-    curve = curve.withColumn("_r", F.col(value) / F.lag(value).over(w) - 1)
+    curve = curve.withColumn("_r", ratio(F.col(value), F.lag(value).over(w)) - 1)
     sharpe = roll_avg("_r", window, w) / nonzero(roll_std("_r", window, w)) * math.sqrt(K.TRADING_DAYS)
     return curve.withColumn("rolling_sharpe", sharpe).drop("_r")

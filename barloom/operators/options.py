@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import START, TIME, row_index, series, whole
+from ..functions.windows import START, TIME, ratio, row_index, series, whole
 from .indicators import parkinson
 from .joins import asof_calendar
 
@@ -46,13 +46,13 @@ def nearest_expiries(chain: DataFrame, n: int = 4, by: Sequence[str] = SNAPSHOT)
     return listed.withColumn("expiry_rank", F.row_number().over(w)).filter(F.col("expiry_rank") <= n)
 
 
-def usable_expiry(chain: DataFrame, min_activity: int = 1000, look: int = 10, by: Sequence[str] = SNAPSHOT) -> DataFrame:
-    """The nearest of the first ``look`` expiries with enough open interest or volume, else the nearest."""
+def usable_expiry(chain: DataFrame, min_activity: int = 1000, look: int | None = None, by: Sequence[str] = SNAPSHOT) -> DataFrame:
+    """The nearest expiry with enough open interest or volume (of the first ``look``, if given), else the nearest."""
     per = chain.groupBy(*by, "expiry").agg(F.sum("open_interest").alias("_oi"), F.sum("volume").alias("_v"))
     w = Window.partitionBy(*by).orderBy("expiry")
     busy = (F.col("_oi") >= min_activity) | (F.col("_v") >= min_activity)
     per = per.withColumn("_k", F.row_number().over(w))
-    best = F.min(F.when(busy & (F.col("_k") <= look), F.col("expiry")))
+    best = F.min(F.when(busy if look is None else busy & (F.col("_k") <= look), F.col("expiry")))
     return per.groupBy(*by).agg(F.coalesce(best, F.min("expiry")).alias("expiry"))
 
 
@@ -67,8 +67,8 @@ def days_to_expiry() -> Column:
 def gamma(spot: Column, strike: Column, years: Column, rate: float, vol: Column) -> Column:
     """Black-Scholes gamma as a column expression."""
     spread = vol * F.sqrt(years)
-    d1 = (F.log(spot / strike) + (rate + vol * vol / 2) * years) / spread
-    return F.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) / (spot * spread)
+    d1 = ratio(F.log(ratio(spot, strike)) + (rate + vol * vol / 2) * years, spread)
+    return ratio(F.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi), spot * spread)
 
 
 def gex_profile(quotes: DataFrame, rate: float = K.RISK_FREE, by: Sequence[str] = CHAIN) -> DataFrame:
@@ -303,8 +303,8 @@ def add_volatility_inputs(panel, by=("symbol",), time=TIME) -> DataFrame:
     return panel.withColumns(
         {
             "_ago": F.count("*").over(whole(by)) - row_index(w) - 1,
-            "_lr": F.log(F.col("close") / F.lag("close").over(w)),
-            "_hl": F.pow(F.log(F.col("high") / F.col("low")), 2),
+            "_lr": F.log(ratio(F.col("close"), F.lag("close").over(w))),
+            "_hl": F.pow(F.log(ratio(F.col("high"), F.col("low"))), 2),
         }
     )
 

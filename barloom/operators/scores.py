@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import BY, TIME, holds, roll_avg, row_index, series, whole
+from ..functions.windows import BY, TIME, holds, ratio, roll_avg, row_index, series, whole
 from .indicators import (
     add_atr,
     add_atr_ratio,
@@ -247,7 +247,7 @@ def setup_array() -> Column:
     vol, atr = F.coalesce(F.col("volume_ratio"), F.lit(1.0)), F.col("atr_ratio")
     bw = F.coalesce(F.col("bandwidth"), F.lit(0.0))
     s50, s200 = F.coalesce(F.col("sma_50"), c), F.coalesce(F.col("sma_200"), c)
-    pct = (c - F.col("prev_close")) / F.col("prev_close") * 100
+    pct = ratio(c - F.col("prev_close"), F.col("prev_close")) * 100
     lean = F.when(z < 0, "long").otherwise("short")
     z_conf = F.least(F.lit(90.0), 50 + F.abs(z) * 20)
     v_conf = 55 + F.least(F.lit(20.0), vol * 5)
@@ -368,7 +368,7 @@ def confluence(panel, levels: int = 5, by=BY, time=TIME) -> DataFrame:
     c = F.col("close")
 
     def close_to(levels_col: str) -> Column:
-        return holds(F.exists(levels_col, lambda v: F.abs(c - v["price"]) / c < 0.01))
+        return holds(F.exists(levels_col, lambda v: ratio(F.abs(c - v["price"]), c) < 0.01))
 
     flags = {
         "rsi_buy": holds(F.col("rsi") < 30),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import BY, TIME, holds, latest, roll_avg, row_index, running, series, two_state, whole
+from ..functions.windows import BY, TIME, holds, latest, ratio, roll_avg, row_index, running, series, two_state, whole
 from .indicators import (
     add_atr_ema,
     add_donchian,
@@ -102,7 +102,7 @@ def tsmom(
     end = F.lag("close", skip_months * 21).over(w)
 
     def leg(months: int) -> Column:
-        r = end / F.lag("close", months * 21).over(w) - 1
+        r = ratio(end, F.lag("close", months * 21).over(w)) - 1
         return F.when(r.isNull(), 0).when(r > 0, 1).otherwise(-1)
 
     if multi_speed:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import BY, START, TIME, holds, roll_std, row_index, running, series, shifted, whole
+from ..functions.windows import BY, START, TIME, holds, ratio, roll_std, row_index, running, series, shifted, whole
 from .bars import week_end, weekly_bars
 from .indicators import add_atr
 
@@ -262,7 +262,7 @@ def volume_profile(panel, bins: int = 50, share: float = 0.70, by=BY) -> DataFra
 def containment_days(panel, window: int = 60, vol_window: int = 20, by=BY, time=TIME) -> DataFrame:
     """For each of the last days: did the next close fall within one and two sigmas of realised volatility?"""
     w = series(by, time)
-    panel = panel.withColumn("_lr", F.log(F.col("close") / F.lag("close").over(w)))
+    panel = panel.withColumn("_lr", F.log(ratio(F.col("close"), F.lag("close").over(w))))
     panel = panel.withColumns(
         {
             "rv": roll_std("_lr", vol_window, w) * math.sqrt(K.TRADING_DAYS),

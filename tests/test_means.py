@@ -69,3 +69,38 @@ def test_oscillators_equal_the_single_functions(spark):
         *[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in ("macd", "macd_signal", "rsi")]
     ).first()
     assert max(worst) < 1e-9
+
+
+@pytest.mark.parametrize("price", [101.37, 33.33, 0.1, 0.123])
+def test_flat_decimal_prices_give_no_signal(spark, price):
+    from barloom.operators import signals as G
+    from barloom.operators.indicators import add_bollinger
+    from conftest import flat, panel, walk
+
+    moving = walk(260, 3)["close"].tolist()
+    for closes, quiet_from in (([price] * 600, 1), (moving + [price] * 400, 470)):
+        df = panel(spark, flat(closes))
+        for signals in (G.ma_crossover(df), G.bb_squeeze(df)):
+            got = [r["signal"] for r in signals.orderBy("dt").collect()]
+            assert not any(got[quiet_from:])
+        last = add_bollinger(df).orderBy("dt").tail(1)[0]
+        assert last["bb_mid"] == last["bb_upper"] == last["bb_lower"] == price
+
+
+def test_zero_and_infinite_values_do_no_lasting_harm(spark):
+    from barloom.operators import indicators as I
+    from barloom.operators import signals as G
+    from barloom.operators.bars import without_nan
+    from barloom.plans.backtest import backtest
+    from conftest import panel, walk
+
+    bad = walk(400, 5)
+    bad.loc[30, ["close", "low"]] = 0.0
+    bad.loc[40, "volume"] = float("inf")
+    df = without_nan(panel(spark, bad))
+    out = df
+    for add in (I.add_lags, I.add_sma, I.add_bollinger, I.add_realized_vol, I.add_parkinson, I.add_volume_ratio, I.add_vwap, I.add_zscore):
+        out = add(out)
+    row = out.orderBy("dt").tail(1)[0].asDict()
+    assert all(v is not None and v == v for v in row.values())
+    assert backtest(df, list(G.STRATEGIES)).metrics.count() == len(G.STRATEGIES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest as K
@@ -156,6 +157,38 @@ def ma_state(spark, sf):
     return G.last_cross(T.bars(spark, sf), digits=6)
 
 
+_DECIMAL = "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY dt) % 97 < 60 THEN 101.37 ELSE round(close * 1.0137, 3) END"
+
+
+def _mean(n: int) -> str:
+    """The mean of n values; of equal values that value."""
+    f = f"OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(*) {f} < {n} THEN NULL WHEN min(c) {f} = max(c) {f} THEN min(c) {f} ELSE avg(c) {f} END"
+
+
+cte("decimal_bars", f"SELECT symbol, dt, CAST({_DECIMAL} AS DOUBLE) AS c FROM bars")
+cte(
+    "decimal_above",
+    f"""
+SELECT symbol, dt, CASE WHEN a > b THEN 1 ELSE 0 END AS above
+FROM (SELECT symbol, dt, {_mean(20)} AS a, {_mean(50)} AS b FROM decimal_bars)
+""",
+)
+
+
+@query(
+    "ma_signal_decimal",
+    """
+SELECT symbol, dt, CAST(coalesce(above - lag(above) OVER (PARTITION BY symbol ORDER BY dt), 0) AS INTEGER) AS signal FROM decimal_above
+""",
+)
+def ma_signal_decimal(spark, sf):
+    """Crossovers of prices that are no binary fractions, with flat stretches in between: a flat stretch has none."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("dt"))
+    price = F.when(place % 97 < 60, 101.37).otherwise(F.round(F.col("close") * 1.0137, 3))
+    return G.ma_crossover(T.bars(spark, sf).withColumn("close", price), 20, 50).select("symbol", "dt", "signal")
+
+
 @query("sig_macd_rsi", "SELECT symbol, dt, signal FROM sig_macd")
 def sig_macd_rsi(spark, sf):
     return G.macd_rsi(T.bars(spark, sf)).select("symbol", "dt", "signal")
