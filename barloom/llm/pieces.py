@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO, notes_of
+from .common import MEMO, notes_of, sliced
 
 #: The sign that stands for a space (fixed value of the format).
 SPACE = "▁"
@@ -322,7 +322,7 @@ _CHUNK = "k bigint, row bigint, chunk int, chunks int, before string, body strin
 def encode_pieces(
     notes: DataFrame, model: str, key: str = "seq", text: str = "reason", into: str = "ids", chunk: int = 16_384, unigram: bool | None = None
 ) -> DataFrame:
-    """The key, the text, ``into`` (array<int>: SentencePiece ids) and ``round_trip`` (do the ids decode to the text?).
+    """The key, ``into`` (array<int>: SentencePiece ids) and ``round_trip`` (do the ids decode to the text?).
 
     Notes are rows with a whole-number key and a free text; ``model`` is the path of a .model file that every
     executor can read.  Texts of more than ``chunk`` characters are cut there, wherever that falls.  Every chunk yields
@@ -333,7 +333,8 @@ def encode_pieces(
     cannot tell it from a space).  Repeated rows and null keys stay; other columns are left out; no rows give no rows.
     """
     rows = notes_of(notes, key, text).withColumn("row", F.xxhash64("k", "t"))
-    short = rows.filter(F.length("t") <= chunk).select("k", "t", _encode_short(model, unigram)("t").alias(into))
+    short = rows.filter(F.length("t") <= chunk).select("k", "t")
+    short = short.mapInArrow(_encode_short(model, unigram), "k bigint, ids array<int>, round_trip boolean")
     long = rows.filter(F.length("t") > chunk).dropDuplicates(["k", "row"])
     cut = long.select("k", "row", "t").mapInArrow(_cut(model, chunk, unigram), _CHUNK)
     cut = cut.repartition("k", "row", "chunk")
@@ -346,15 +347,10 @@ def encode_pieces(
         cut["k"], cut["row"], cut["chunk"], _trace(model, unigram)("body", "ahead", "entry", "exit").alias("ids")
     )
     ids = traced.groupBy("k", "row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    ids = ids.select("k", "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias(into))
+    ids = ids.select("k", "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
     every = rows.filter(F.length("t") > chunk)
-    giant = every.join(ids, same(every, ids)).select(every["k"], "t", into)
-    return short.unionByName(giant).select(F.col("k").alias(key), F.col("t").alias(text), into)
-
-
-def with_round_trip(coded: DataFrame, model: str, text: str = "reason", ids: str = "ids", into: str = "round_trip") -> DataFrame:
-    """Adds whether the ids decode to the text."""
-    return coded.withColumn(into, decoded(model)(ids) == F.col(text))
+    giant = every.join(ids, same(every, ids)).select(every["k"], "ids", (decoded(model, unigram)("ids") == F.col("t")).alias("round_trip"))
+    return short.unionByName(giant).select(F.col("k").alias(key), F.col("ids").alias(into), "round_trip")
 
 
 def decoded(model: str, unigram: bool | None = None):
@@ -370,11 +366,16 @@ def decoded(model: str, unigram: bool | None = None):
 
 
 def _encode_short(model: str, unigram: bool | None):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = pieces_of(model, unigram)
-        for part in texts:
-            yield pd.Series([d.whole(d.normal(t)) for t in part], dtype=object)
+        for batch in sliced(batches):
+            texts = batch.column("t").to_pylist()
+            ids = [d.whole(d.normal(t)) for t in texts]
+            same = [d.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+            ends = np.zeros(len(ids) + 1, np.int32)
+            np.cumsum([len(x) for x in ids], out=ends[1:])
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(ends, flat), pa.array(same, pa.bool_())], ["k", "ids", "round_trip"])
 
     return run
 

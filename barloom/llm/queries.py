@@ -82,7 +82,7 @@ def mixing(spark, sf):
 @query("op5_pieces")
 def pieces(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = SP.with_round_trip(SP.encode_pieces(documents(spark, sf), model), model)
+    coded = SP.encode_pieces(documents(spark, sf), model)
     return coded.select(F.col("seq").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 

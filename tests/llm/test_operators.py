@@ -152,7 +152,7 @@ def test_unigram_weights_find_the_best_path(rng):
 def test_encode_pieces(spark, rng, lattice):
     model = public_tokenizers.path("piece_bpe_32k.model")
     texts = odd_texts(rng) + ["spot" * 400]
-    coded = pieces.with_round_trip(pieces.encode_pieces(simple(spark, texts), model, chunk=700), model).collect()
+    coded = pieces.encode_pieces(simple(spark, texts), model, chunk=700).collect()
     assert len(coded) == len(texts) and all(r["round_trip"] for r in coded)
     for r in coded:
         assert r["ids"] == lattice.whole(lattice.normal(texts[r["seq"]] or "")).tolist()
