@@ -11,7 +11,7 @@ from barloom.llm.common import written
 from barloom.llm.mixing import mix_sources
 from barloom.llm.neardup import near_duplicates
 from barloom.llm.passages import shared_passages, without_passages
-from barloom.llm.pieces import encode_pieces, with_round_trip
+from barloom.llm.pieces import encode_pieces
 from barloom.llm.toxicity import add_toxicity, fit_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document's text, and whether they decode to it."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = with_round_trip(encode_pieces(docs, model, key="doc_id", text="text"), model, text="text")
+    coded = encode_pieces(docs, model, key="doc_id", text="text")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
