@@ -320,13 +320,13 @@ _CHUNK = "k bigint, row bigint, chunk int, chunks int, before string, body strin
 
 
 def encode_pieces(
-    notes: DataFrame, model: str, key: str = "seq", text: str = "reason", into: str = "ids", chunk: int = 16_384, unigram: bool | None = None
+    notes: DataFrame, model: str, key: str = "seq", text: str = "reason", into: str = "ids", chunk: int = 65_536, unigram: bool | None = None
 ) -> DataFrame:
     """The key, ``into`` (array<int>: SentencePiece ids) and ``round_trip`` (do the ids decode to the text?).
 
     Notes are rows with a whole-number key and a free text; ``model`` is the path of a .model file that every
     executor can read.  Texts of more than ``chunk`` characters are cut there, wherever that falls.  Every chunk yields
-    the matrix of best scores between the states at its two ends; the matrices of a text (2 GiB at most, so 131,072 of
+    the matrix of best scores between the states at its two ends; the matrices of a text (2 GiB at most, so 32,768 of
     them) are combined by an associative scan into the states of the best path, and every chunk is then traced alone.
 
     Null texts are empty, empty texts have no ids.  A text with the space sign itself does not round-trip (the format
