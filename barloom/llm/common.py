@@ -39,8 +39,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, so 10,000 of them are too many.
+BATCH_ROWS = 1000
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def working(name: str, forget: Callable[[], object] | None = None) -> None:
+    """A worker process begins work of this name: what it remembers of other work goes, so that memory doesn't add up."""
+    for other in [n for n in _memos if n != name]:
+        _memos.pop(other)()
+    if forget:
+        _memos[name] = forget
+
+
 def notes_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, as ``k`` and ``t``; a missing text is empty."""
+    short_batches(df.sparkSession)
     return df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HASHES, binaries, connected, grams, mix, notes_of, sliced, text_id, written
+from .common import HASHES, binaries, connected, grams, mix, notes_of, sliced, text_id, working, written
 
 #: Texts whose shingles travel together.
 _BATCH = 256
@@ -62,6 +62,7 @@ def _deal(words: int, buckets: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("hashes", HASHES.clear)
         seen: set[bytes] = set()
         ids, sets, tfs = [], [], []
         for batch in sliced(batches):
@@ -111,6 +112,7 @@ def _shared(n_texts: int, idf_share: float):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("shared")
         at, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():

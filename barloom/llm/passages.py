@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HASHES, grams, mix, notes_of, sliced, written
+from .common import HASHES, grams, mix, notes_of, sliced, working, written
 
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 
@@ -47,6 +47,7 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
 
 def _seeds(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("hashes", HASHES.clear)
         for batch in sliced(batches):
             parts: list[tuple] = []
             for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
@@ -142,6 +143,7 @@ def _chain(k: int, window: int, min_words: int, gap_cost: float, max_gap: int):
     """(k, owner, anchors) -> its chains that can reach ``min_words``, with the stretch of either text they may span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("chains")
         for batch in sliced(batches):
             out: list[list] = [[] for _ in range(10)]
             for r in batch.to_pylist():

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO, notes_of, sliced
+from .common import MEMO, notes_of, sliced, working
 
 #: The sign that stands for a space (fixed value of the format).
 SPACE = "▁"
@@ -310,10 +310,15 @@ def boundary_states(ms: list[Matrix]) -> list[State]:
     return out[::-1]
 
 
-@lru_cache(4)
+@lru_cache(1)
+def _loaded(path: str, unigram: bool | None) -> Pieces:
+    return Pieces(path, unigram)
+
+
 def pieces_of(path: str, unigram: bool | None = None) -> Pieces:
     """One vocabulary a worker process."""
-    return Pieces(path, unigram)
+    working("pieces", _loaded.cache_clear)
+    return _loaded(path, unigram)
 
 
 _CHUNK = "k bigint, row bigint, chunk int, chunks int, before string, body string, ahead string"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO
+from .common import MEMO, short_batches, working
 
 
 def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -137,10 +137,15 @@ class TokenCounter(dict):
         return sum(map(self.runs.__getitem__, text.split()))
 
 
-@lru_cache(2)
+@lru_cache(1)
+def _loaded(path: str) -> TokenCounter:
+    return TokenCounter(path)
+
+
 def counter_of(path: str) -> TokenCounter:
     """One vocabulary a worker process."""
-    return TokenCounter(path)
+    working("counts", _loaded.cache_clear)
+    return _loaded(path)
 
 
 def add_token_counts(notes: DataFrame, vocabulary: str, text: str = "reason", into: str = "n_tokens") -> DataFrame:
@@ -156,4 +161,5 @@ def add_token_counts(notes: DataFrame, vocabulary: str, text: str = "reason", in
         for part in texts:
             yield pd.Series([counter.count(t) for t in part], dtype="int64")
 
+    short_batches(notes.sparkSession)
     return notes.withColumn(into, run(F.coalesce(F.col(text), F.lit(""))))
