@@ -28,7 +28,6 @@ HEADLINE = [
     "signals_all",
     "metrics_ma",
     "metrics_all",
-    "trade_resampling",
     "confluence",
     "scan_full",
     "screen_weekly",
