@@ -35,8 +35,14 @@ def distinct_quotes(chain: DataFrame, by: Sequence[str] = CHAIN) -> DataFrame:
     return chain.groupBy(*by, "opt_side", "strike").agg(top.alias("_q")).select(*by, "opt_side", "strike", "_q.*")
 
 
+def snapshot_spot(meta: DataFrame) -> DataFrame:
+    """One price per snapshot, whatever number of tickers asked for it."""
+    return meta.groupBy(*SNAPSHOT).agg(F.max("spot").alias("spot"))
+
+
 def with_spot(chain: DataFrame, meta: DataFrame) -> DataFrame:
-    return chain.join(meta.select(*SNAPSHOT, "spot"), list(SNAPSHOT))
+    """Contracts with the price of their snapshot; null where it has none."""
+    return chain.join(snapshot_spot(meta), list(SNAPSHOT), "left")
 
 
 def nearest_expiries(chain: DataFrame, n: int = 4, by: Sequence[str] = SNAPSHOT) -> DataFrame:
@@ -297,36 +303,38 @@ def iv_skew(quotes: DataFrame, by: Sequence[str] = CHAIN) -> DataFrame:
     )
 
 
-def add_volatility_inputs(panel, by=("symbol",), time=TIME) -> DataFrame:
-    """Per bar: ``_ago`` (bars before the last one), log return, squared log range."""
-    w = series(by, time)
-    return panel.withColumns(
+def add_recent_volatility(
+    panel: DataFrame, lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW, by=("symbol",), time=TIME
+) -> DataFrame:
+    """Per bar, from it and earlier ones: range volatility over two windows and close-to-close volatility.
+
+    Null until the series has as many bars.
+    """
+    w, year = series(by, time), math.sqrt(K.TRADING_DAYS)
+    rows = panel.withColumns(
         {
-            "_ago": F.count("*").over(whole(by)) - row_index(w) - 1,
+            "_i": row_index(w),
             "_lr": F.log(ratio(F.col("close"), F.lag("close").over(w))),
             "_hl": F.pow(F.log(ratio(F.col("high"), F.col("low"))), 2),
         }
     )
-
-
-def volatility_aggregates(lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW) -> list[Column]:
-    """Range volatility over two windows and close-to-close volatility, null for short series."""
-    ago, year = F.col("_ago"), math.sqrt(K.TRADING_DAYS)
-    n, mean = F.count("*"), lambda k: F.avg(F.when(ago < k, F.col("_hl")))
-    cc = F.stddev_samp(F.when(ago < lookback - 1, F.col("_lr")))
-    return [
-        F.when(n >= window, parkinson(mean(window))).alias("parkinson_short"),
-        F.when(n >= lookback, parkinson(mean(lookback))).alias("parkinson_long"),
-        F.when(n >= lookback, cc * year).alias("close_to_close"),
-    ]
+    last = lambda n: w.rowsBetween(1 - n, 0)
+    after = lambda n, value: F.when(F.col("_i") >= n - 1, value)
+    return rows.withColumns(
+        {
+            "parkinson_short": after(window, parkinson(F.avg("_hl").over(last(window)))),
+            "parkinson_long": after(lookback, parkinson(F.avg("_hl").over(last(lookback)))),
+            "close_to_close": after(lookback, F.stddev_samp("_lr").over(last(lookback - 1)) * year),
+        }
+    ).drop("_i", "_lr", "_hl")
 
 
 def recent_volatility(
     panel: DataFrame, lookback: int = K.VRP_LOOKBACK, window: int = K.PARKINSON_WINDOW, by=("symbol",), time=TIME
 ) -> DataFrame:
     """Volatility of the newest bars of each key."""
-    rows = add_volatility_inputs(panel, by, time).filter(F.col("_ago") < max(lookback, window))
-    return rows.groupBy(*by).agg(*volatility_aggregates(lookback, window))
+    rows = add_recent_volatility(panel, lookback, window, by, time)
+    return rows.groupBy(*by).agg(*[F.max_by(c, time).alias(c) for c in ("parkinson_short", "parkinson_long", "close_to_close")])
 
 
 def vrp_columns(iv: Column, low: float = K.VRP_MIN, high: float = K.VRP_MAX) -> dict[str, Column]:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import TIME
+from ..functions.windows import TIME, latest, series
 from . import options as O
-from .joins import asof_calendar
+from .joins import asof_backward, asof_calendar
+from .signals import vix_regime
 from .structure import add_fractal_dimension, add_pivots, market_regime
 
 
@@ -102,15 +103,23 @@ def rescaled(level: Column, ratio: Column, proxy_used: Column) -> Column:
     return F.when(proxy_used & (ratio > 1), level * ratio).otherwise(level)
 
 
-def price_structure(panel: DataFrame, by=("symbol",), time=TIME) -> DataFrame:
-    """Per symbol: dimension of the last bar, newest pivots, recent volatility, from one pass over the panel."""
-    rows = O.add_volatility_inputs(add_pivots(add_fractal_dimension(panel, by=by, time=time), by=by, time=time), by, time)
-    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(time, c)))[c]
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.max_by("fd", time), F.lit(1.5)).alias("fd"),
-        newest("pivot_low").alias("support"),
-        newest("pivot_high").alias("resistance"),
-        *O.volatility_aggregates(),
+#: What ``add_price_structure`` adds.
+STRUCTURE = ["fd", "support", "resistance", "parkinson_short", "parkinson_long", "close_to_close"]
+
+
+def add_price_structure(panel: DataFrame, by=("symbol",), time=TIME) -> DataFrame:
+    """Per bar: dimension, newest pivots, recent volatility, as known at its close.
+
+    A pivot is known ``PIVOT_PERIOD`` bars later.  Later bars change nothing; all windows share one key and order.
+    """
+    w = series(by, time)
+    rows = add_pivots(add_fractal_dimension(panel, by=by, time=time), by=by, time=time)
+    return O.add_recent_volatility(rows, by=by, time=time).withColumns(
+        {
+            "fd": F.coalesce("fd", F.lit(1.5)),
+            "support": latest("pivot_low", w, -K.PIVOT_PERIOD),
+            "resistance": latest("pivot_high", w, -K.PIVOT_PERIOD),
+        }
     )
 
 
@@ -138,7 +147,7 @@ def composite_inputs(chain: DataFrame, meta: DataFrame, panel: DataFrame, vix: D
     """All per-chain measures of the usable expiry of every snapshot, one row per chain.
 
     The quotes are partitioned by chain once; the measures and the joins between
-    them reuse that.
+    them reuse that.  The panel counts up to the snapshot's day.
     """
     key = list(O.CHAIN)
     chosen = chain.join(O.usable_expiry(chain), key, "left_semi")
@@ -146,6 +155,7 @@ def composite_inputs(chain: DataFrame, meta: DataFrame, panel: DataFrame, vix: D
     profile = O.gex_profile(quotes)
     rows = O.expected_move(quotes, vix)
     for part in (
+        quotes.groupBy(*key).agg(F.max("spot").alias("spot")),
         O.oi_walls(quotes),
         O.max_pain(quotes),
         O.put_call_ratios(quotes),
@@ -154,7 +164,8 @@ def composite_inputs(chain: DataFrame, meta: DataFrame, panel: DataFrame, vix: D
         O.gex_summary(profile),
     ):
         rows = rows.join(part, key, "left")
-    rows = rows.join(meta, list(O.SNAPSHOT)).join(price_structure(panel), "symbol", "left")
+    bars = add_price_structure(panel).withColumnRenamed(TIME, "asof_dt")
+    rows = asof_backward(rows, bars, STRUCTURE, ("symbol",), "asof_dt")
     rows = asof_calendar(rows, vix, ["vix", "vix_3m"], "asof_dt")
     return (
         rows.withColumn("fd", F.coalesce(F.col("fd"), F.lit(1.5)))
@@ -167,9 +178,17 @@ def composite_inputs(chain: DataFrame, meta: DataFrame, panel: DataFrame, vix: D
 def composite_analysis(
     chain: DataFrame, meta: DataFrame, panel: DataFrame, vix: DataFrame, weights: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """Bias, confidence, floor and ceiling of every snapshot, in units of the asked-for symbol."""
+    """Bias, confidence, floor and ceiling of every snapshot for every ticker that asked for it.
+
+    Spot, floors and ceilings are in units of the asked-for ticker; walls, pivots, dealer levels and maximum pain in those
+    of the chain.  A snapshot without ``meta`` keeps one row: no ticker, spot, bias or range.
+    """
     rows = add_range(composite_inputs(chain, meta, panel, vix))
     rows = rows.join(bias_vote(evidence_rows(rows), weights), list(O.CHAIN))
+    asked = meta.select(*O.SNAPSHOT, *[c for c in ("ticker",) if c in meta.columns], "futures_spot", "proxy_used")
+    rows = rows.join(asked, list(O.SNAPSHOT), "left")
+    ticker = F.col("ticker") if "ticker" in asked.columns else F.col("symbol")
+    priced = F.col("spot").isNotNull()
     ratio, proxy = price_ratio(F.col("spot"), F.col("futures_spot")), F.col("proxy_used")
     shown = F.when(proxy & (ratio > 1), F.col("futures_spot")).otherwise(F.col("spot"))
     levels = {
@@ -178,21 +197,30 @@ def composite_analysis(
         for side in ("floor", "ceiling")
     }
     return rows.withColumn("_ratio", ratio).select(
+        ticker.alias("ticker"),
         *O.CHAIN,
         F.round(shown, 2).alias("spot_price"),
         F.round("spot", 2).alias("proxy_spot"),
         "proxy_used",
         F.round("_ratio", 4).alias("price_ratio"),
         *[c.alias(n) for n, c in levels.items()],
-        "bias",
-        "confidence",
+        F.when(priced, F.col("bias")).alias("bias"),
+        F.when(priced, F.col("confidence")).alias("confidence"),
         "iv_used",
         "vrp_factor",
         "regime",
         "structure",
+        "vix",
+        vix_regime(F.col("vix")).alias("vix_regime"),
         "max_pain",
         F.round("fd", 3).alias("fractal_dimension"),
         F.round("parkinson_short", 4).alias("parkinson_rv"),
+        "support",
+        "resistance",
+        "strongest_put_wall",
+        "strongest_call_wall",
+        "pc_ratio_oi",
+        "skew_ratio",
         "gex_floor",
         "gex_ceiling",
         "total_gex",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..operators.options import distinct_quotes
 
 _CONTRACT = T.StructType(
     [
@@ -52,11 +53,20 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def contracts(snapshots: DataFrame) -> DataFrame:
-    """One row per contract of every snapshot."""
-    key = [F.col("meta.resolved_ticker").alias("symbol"), F.col("meta.asof_dt"), F.col("meta.expiry")]
-    side = lambda c, name: snapshots.select(*key, F.lit(name).alias("opt_side"), F.inline(c))
-    both = side("calls", "C").unionByName(side("puts", "P"))
-    return both.select(
+    """One row per contract of every chain, however many tickers asked for the chain that day.
+
+    Of differing records of a contract the one with the most open interest is kept.
+    """
+    marked = lambda c, name: F.transform(
+        F.coalesce(c, F.array().cast(T.ArrayType(_CONTRACT))), lambda x: F.struct(F.lit(name).alias("opt_side"), x.alias("c"))
+    )
+    both = snapshots.select(
+        F.col("meta.resolved_ticker").alias("symbol"),
+        F.col("meta.asof_dt"),
+        F.col("meta.expiry"),
+        F.inline(F.concat(marked(F.col("calls"), "C"), marked(F.col("puts"), "P"))),
+    ).select("symbol", "asof_dt", "expiry", "opt_side", "c.*")
+    rows = both.select(
         "symbol",
         "asof_dt",
         "expiry",
@@ -69,17 +79,29 @@ def contracts(snapshots: DataFrame) -> DataFrame:
         count_or_zero("openInterest").alias("open_interest"),
         F.col("impliedVolatility").alias("implied_vol"),
     )
+    return distinct_quotes(rows).select(rows.columns)
 
 
 def chain_meta(snapshots: DataFrame) -> DataFrame:
-    """One row per symbol and day: prices and whether the chain is a proxy's."""
-    rest = ["spot_price", "futures_spot", "proxy_used", "original_ticker"]
-    top = snapshots.groupBy(F.col("meta.resolved_ticker").alias("symbol"), F.col("meta.asof_dt").alias("asof_dt")).agg(
-        F.max(F.struct(*[F.col(f"meta.{c}").alias(c) for c in rest])).alias("_m")
-    )
-    spot = F.col("_m.spot_price").alias("spot")
+    """One row per symbol, day and asked-for ticker: prices and whether the chain is a proxy's.
+
+    Of several requests of a day the one for the nearest expiry counts.
+    """
+    m = lambda c: F.col(f"meta.{c}")
+    key = [
+        m("resolved_ticker").alias("symbol"),
+        m("asof_dt").alias("asof_dt"),
+        F.coalesce(m("original_ticker"), m("resolved_ticker")).alias("ticker"),
+    ]
+    rest = [m(c).alias(c) for c in ("expiry", "spot_price", "futures_spot", "proxy_used")]
+    top = snapshots.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_m"))
     return top.select(
-        "symbol", "asof_dt", spot, F.coalesce("_m.futures_spot", "_m.spot_price").alias("futures_spot"), "_m.proxy_used"
+        "symbol",
+        "asof_dt",
+        "ticker",
+        F.col("_m.spot_price").alias("spot"),
+        F.coalesce("_m.futures_spot", "_m.spot_price").alias("futures_spot"),
+        "_m.proxy_used",
     )
 
 

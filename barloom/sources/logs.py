@@ -51,21 +51,25 @@ def coerced(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
-def prediction_rows(analysis: DataFrame, date, timestamp, vix: DataFrame | None = None) -> DataFrame:
-    """Composite-analysis rows in the layout of the log, rounded as logged."""
+def prediction_rows(analysis: DataFrame, date, timestamp) -> DataFrame:
+    """Composite-analysis rows in the layout of the log, rounded as logged.
+
+    ``date`` and ``timestamp`` are values or columns.  The ticker is the one that was asked for, whose units the range has; the
+    regime is that of the volatility index, which the feedback step groups by.
+    """
     rows = analysis.select(
         F.lit(date).cast("date").alias("date"),
         F.lit(timestamp).cast("timestamp_ntz").alias("timestamp"),
-        F.col("symbol").alias("ticker"),
+        "ticker",
         "spot_price",
         F.col("floor_1sigma").alias("floor"),
         F.col("ceiling_1sigma").alias("ceiling"),
         "bias",
         "confidence",
         "expiry",
-        (F.col("vix") if "vix" in analysis.columns else F.lit(None).cast("double")).alias("vix"),
+        "vix",
         F.col("total_gex").alias("gex_net"),
-        "regime",
+        F.col("vix_regime").alias("regime"),
     )
     return rows.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()})
 

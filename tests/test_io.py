@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.operators import feedback as L
 from barloom.operators.bars import trades_to_bars
+from barloom.operators.options import put_call_ratios, with_spot
+from barloom.operators.ranges import composite_analysis
 from barloom.sources import bars as SB
 from barloom.sources import chains as SC
 from barloom.sources import logs as SL
@@ -140,3 +142,27 @@ def test_live_bars_equal_batch_bars(spark, tmp_path):
     live = spark.table("live")
     assert live.count() == batch.count()
     assert batch.exceptAll(live).count() == 0
+
+
+def test_two_tickers_of_one_chain(spark, tmp_path):
+    """SPY and ES=F on one day: contracts once, prices for either ticker, and each in its own units."""
+    own = snapshot("SPY", "2024-01-02", "2024-01-12", [90.0, 100.0, 110.0])
+    future = snapshot("SPY", "2024-01-02", "2024-01-12", [90.0, 100.0, 110.0])
+    future["meta"] |= {"original_ticker": "ES=F", "futures_spot": 1000.0, "proxy_used": True}
+    for i, s in enumerate((own, future)):
+        (tmp_path / f"{i}.json").write_text(json.dumps(s))
+    snaps = SC.read_snapshots(spark, str(tmp_path))
+    chain, meta = SC.contracts(snaps).cache(), SC.chain_meta(snaps).cache()
+    assert chain.count() == 4
+    assert put_call_ratios(with_spot(chain, meta)).first()["call_oi"] == 15
+    prices = walk(200, 4, "SPY")
+    prices["dt"] = [dt.date(2024, 1, 2) - dt.timedelta(days=199 - k) for k in range(200)]
+    vix = spark.createDataFrame([(dt.date(2024, 1, 1), 16.0, 18.0)], "dt date, vix double, vix_3m double")
+    rows = composite_analysis(chain, meta, panel(spark, prices), vix)
+    got = {r.ticker: r for r in SL.prediction_rows(rows, "2024-01-02", "2024-01-02 16:00:00").collect()}
+    assert set(got) == {"SPY", "ES=F"}
+    assert got["SPY"].spot_price == 100.0 and got["ES=F"].spot_price == 1000.0
+    assert abs(got["ES=F"].floor - 10 * got["SPY"].floor) < 0.1
+    assert {(r.vix, r.regime) for r in got.values()} == {(16.0, "normal")}
+    bare = composite_analysis(chain, meta.filter("false"), panel(spark, prices), vix).collect()
+    assert [(r.symbol, r.ticker, r.spot_price, r.bias) for r in bare] == [("SPY", None, None, None)]

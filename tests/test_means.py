@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import flat, panel, walk
+from conftest import DAY0, flat, panel, walk
 from pyspark.sql import functions as F
 
 from barloom.functions.ewm import Ewm, add_ewm, span
 from barloom.operators.indicators import add_macd, add_oscillators, add_rsi
+from barloom.operators.ranges import STRUCTURE, add_price_structure
 
 
 def rows(df, *cols):
@@ -104,3 +107,14 @@ def test_zero_and_infinite_values_do_no_lasting_harm(spark):
     row = out.orderBy("dt").tail(1)[0].asDict()
     assert all(v is not None and v == v for v in row.values())
     assert backtest(df, list(G.STRATEGIES)).metrics.count() == len(G.STRATEGIES)
+
+
+def test_structure_never_looks_ahead(spark):
+    """Cutting the panel at a day changes nothing that was known on it."""
+    whole = panel(spark, walk(200, 5, "A"), walk(150, 6, "B"))
+    full = add_price_structure(whole).select("symbol", "dt", *[F.round(c, 9).alias(c) for c in STRUCTURE])
+    for days in (25, 70, 71, 74, 120):
+        day = DAY0 + dt.timedelta(days=days)
+        cut = add_price_structure(whole.filter(F.col("dt") <= F.lit(day))).filter(F.col("dt") == F.lit(day))
+        then = cut.select("symbol", "dt", *[F.round(c, 9).alias(c) for c in STRUCTURE])
+        assert sorted(map(tuple, then.collect())) == sorted(map(tuple, full.filter(F.col("dt") == F.lit(day)).collect()))

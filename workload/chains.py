@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import options as O
 from barloom.operators import ranges as R
+from barloom.sources import logs as SL
 
 from . import tables as T
 from .registry import query, shown
@@ -19,7 +20,7 @@ def quotes(spark, sf):
     return O.with_spot(T.chain(spark, sf), T.chain_meta(spark, sf))
 
 
-cte("quotes", "SELECT c.*, m.spot FROM chain c JOIN meta m ON m.symbol = c.symbol AND m.asof_dt = c.asof_dt")
+cte("quotes", "SELECT c.*, m.spot FROM chain c JOIN spots m ON m.symbol = c.symbol AND m.asof_dt = c.asof_dt")
 cte(
     "gex",
     f"""
@@ -285,9 +286,9 @@ def nearest_expiries(spark, sf):
 cte(
     "comp0",
     f"""
-SELECT u.*, m.spot, m.futures_spot, m.proxy_used, round(v.iv, 4) AS iv4, round(v.d, 2) AS dm, w.cw, w.pw, w.cc, w.pc, p.max_pain, c.ro, c.co, c.po, c.rv,
-       k.s, g.gex_floor, g.gex_ceiling, t.total, coalesce(f.fd, 1.5) AS fd, sup.price AS sup, res.price AS res, vo.p20, r.factor, x.structure
-FROM usable u JOIN meta m USING (symbol, asof_dt) JOIN moves v {J} JOIN walls w {J} JOIN pain_min p {J} JOIN pcr c {J} JOIN skews k {J} LEFT JOIN gex_b g {J}
+SELECT u.*, m.spot, round(v.iv, 4) AS iv4, round(v.d, 2) AS dm, w.cw, w.pw, w.cc, w.pc, p.max_pain, c.ro, c.co, c.po, c.rv,
+       k.s, g.gex_floor, g.gex_ceiling, t.total, coalesce(f.fd, 1.5) AS fd, sup.price AS sup, res.price AS res, vo.p20, r.factor, x.structure, x.vix
+FROM usable u JOIN spots m USING (symbol, asof_dt) JOIN moves v {J} JOIN walls w {J} JOIN pain_min p {J} JOIN pcr c {J} JOIN skews k {J} LEFT JOIN gex_b g {J}
 LEFT JOIN gex_s t {J} LEFT JOIN fdv f ON f.symbol = u.symbol AND f.dt = u.asof_dt
 LEFT JOIN levels sup ON sup.symbol = u.symbol AND sup.side = 'support' AND sup.k = 1
 LEFT JOIN levels res ON res.symbol = u.symbol AND res.side = 'resistance' AND res.k = 1
@@ -361,18 +362,57 @@ def floor_ceiling(spark, sf):
     return R.range_rows(R.add_range(inputs(spark, sf)))
 
 
-@query(
-    "composite",
+cte(
+    "comp_rows",
     f"""
-SELECT {KEY}, round(CASE WHEN proxy_used THEN futures_spot ELSE spot END, 2) AS spot_price, round(spot, 2) AS proxy_spot, proxy_used, round(futures_spot / spot, 4) AS price_ratio,
+SELECT m.ticker, {KEY}, round(CASE WHEN proxy_used THEN futures_spot ELSE spot END, 2) AS spot_price, round(spot, 2) AS proxy_spot, proxy_used, round(futures_spot / spot, 4) AS price_ratio,
   round(max(lo * futures_spot / spot) FILTER (level = '1sigma'), 2) AS floor_1sigma, round(max(hi * futures_spot / spot) FILTER (level = '1sigma'), 2) AS ceiling_1sigma,
   round(max(lo * futures_spot / spot) FILTER (level = '1_5sigma'), 2) AS floor_1_5sigma, round(max(hi * futures_spot / spot) FILTER (level = '1_5sigma'), 2) AS ceiling_1_5sigma,
   round(max(lo * futures_spot / spot) FILTER (level = '2sigma'), 2) AS floor_2sigma, round(max(hi * futures_spot / spot) FILTER (level = '2sigma'), 2) AS ceiling_2sigma,
-  bias, confidence, iv4 AS iv_used, factor AS vrp_factor, regime, structure, max_pain, round(fd, 3) AS fractal_dimension, round(p20, 4) AS parkinson_rv,
+  bias, confidence, iv4 AS iv_used, factor AS vrp_factor, regime, structure, vix,
+  CASE WHEN vix IS NULL THEN 'unknown' WHEN vix < 15 THEN 'low_vol' WHEN vix < 25 THEN 'normal' WHEN vix < 35 THEN 'elevated' ELSE 'crisis' END AS vix_regime,
+  max_pain, round(fd, 3) AS fractal_dimension, round(p20, 4) AS parkinson_rv, sup AS support, res AS resistance,
+  round(pw, 4) AS strongest_put_wall, round(cw, 4) AS strongest_call_wall, round(ro, 3) AS pc_ratio_oi, round(s, 3) AS skew_ratio,
   gex_floor, gex_ceiling, round(total, 2) AS total_gex
-FROM ranges3 JOIN bias7 {J} GROUP BY ALL
+FROM ranges3 JOIN bias7 {J} JOIN (SELECT symbol, asof_dt, ticker, futures_spot, proxy_used FROM meta) m USING (symbol, asof_dt) GROUP BY ALL
 """,
 )
-def composite(spark, sf):
+
+
+def analysis(spark, sf):
     out = R.composite_analysis(T.chain(spark, sf), T.chain_meta(spark, sf), T.bars(spark, sf), T.vix(spark, sf))
-    return out.withColumn("total_gex", F.round("total_gex", 2))
+    return out.withColumns({"total_gex": F.round("total_gex", 2)} | {c: F.round(c, 4) for c in ("strongest_put_wall", "strongest_call_wall")})
+
+
+@query("composite", "SELECT * FROM comp_rows")
+def composite(spark, sf):
+    return analysis(spark, sf)
+
+
+@query(
+    "prediction_log",
+    """
+SELECT asof_dt AS date, CAST(asof_dt AS TIMESTAMP) + INTERVAL 16 HOUR AS timestamp, ticker, spot_price, floor_1sigma AS floor, ceiling_1sigma AS ceiling,
+       bias, confidence, expiry, round(vix, 2) AS vix, total_gex AS gex_net, vix_regime AS regime FROM comp_rows
+""",
+)
+def prediction_log(spark, sf):
+    at = F.timestamp_add("HOUR", F.lit(16), F.col("asof_dt").cast("timestamp_ntz"))
+    return SL.prediction_rows(analysis(spark, sf), F.col("asof_dt"), at)
+
+
+@query(
+    "price_structure_days",
+    """
+SELECT symbol, dt, round(coalesce(fd, 1.5), 6) AS fd, last_value(pl IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING) AS support,
+       last_value(ph IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING) AS resistance,
+       round(CASE WHEN i >= 19 THEN sqrt(avg(hl) OVER (w ROWS 19 PRECEDING) / (4 * ln(2)) * 252) END, 6) AS parkinson_short,
+       round(CASE WHEN i >= 62 THEN sqrt(avg(hl) OVER (w ROWS 62 PRECEDING) / (4 * ln(2)) * 252) END, 6) AS parkinson_long,
+       round(CASE WHEN i >= 62 THEN stddev_samp(lr) OVER (w ROWS 61 PRECEDING) * sqrt(252) END, 6) AS close_to_close
+FROM (SELECT b.*, ln(high / low) * ln(high / low) AS hl, ln(close / pc) AS lr, p.pl, p.ph, f.fd
+      FROM b LEFT JOIN (SELECT symbol, dt, pl, ph FROM piv) p USING (symbol, dt) LEFT JOIN fdv f USING (symbol, dt))
+WINDOW w AS (PARTITION BY symbol ORDER BY dt)
+""",
+)
+def price_structure_days(spark, sf):
+    return shown(R.add_price_structure(T.bars(spark, sf)), "symbol", "dt", *R.STRUCTURE)

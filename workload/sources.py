@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import bars as OB
 from barloom.operators.screen import in_universe
 from barloom.sources import bars as SB
 from barloom.sources import chains as SC
@@ -62,3 +63,39 @@ def pred_coerced(spark, sf):
     raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
     raw = raw.withColumn("spot_price", F.when(F.col("bias") == "NEUTRAL", "n/a").otherwise(F.col("spot_price")))
     return SL.coerced(raw).select("date", "timestamp", "ticker", "spot_price", "floor", "bias")
+
+
+@query(
+    "snapshot_contracts",
+    """
+SELECT symbol, asof_dt, expiry, opt_side, strike, volume, CASE WHEN open_interest % 7 > 0 THEN open_interest ELSE 0 END AS open_interest, implied_vol FROM chain
+""",
+)
+def snapshot_contracts(spark, sf):
+    """Chains asked for twice give their contracts once; missing counts are zero."""
+    out = SC.contracts(T.snapshots(spark, sf))
+    return out.select("symbol", "asof_dt", "expiry", "opt_side", "strike", "volume", "open_interest", "implied_vol")
+
+
+@query("snapshot_meta", "SELECT symbol, asof_dt, ticker, spot, futures_spot, proxy_used FROM meta")
+def snapshot_meta(spark, sf):
+    return SC.chain_meta(T.snapshots(spark, sf))
+
+
+@query("clean_panel", "SELECT symbol, dt, open, high, low, close, volume FROM bars WHERE CAST(close AS BIGINT) % 11 <> 0 AND CAST(close AS BIGINT) % 13 <> 0")
+def clean_panel(spark, sf):
+    """Padded, mixed-case names, times of day, and null, NaN and infinite closes, made clean."""
+    close = F.col("close").cast("bigint")
+    bad = F.when(close % 11 == 0, F.lit(float("nan"))).when(close % 13 == 0, F.lit(None)).otherwise(F.col("close"))
+    raw = T.bars(spark, sf).select(
+        F.col("symbol").alias("Symbol"),
+        F.timestamp_add("HOUR", F.lit(5), F.col("dt").cast("timestamp")).alias(" DT "),
+        F.col("open").alias("Open"),
+        F.col("high").alias("HIGH"),
+        F.col("low").alias(" Low"),
+        bad.alias("Close "),
+        F.col("volume").alias("Volume"),
+    )
+    named = OB.normalize_names(raw)
+    rows = OB.drop_missing_close(OB.drop_empty_rows(named.withColumn("dt", OB.naive_day(F.col("dt")))))
+    return rows.select("symbol", "dt", *OB.VALUES)

@@ -125,8 +125,7 @@ FROM contracts JOIN spots USING (symbol)
 cte(
     "meta",
     """
-SELECT symbol, asof_dt, spot, CASE WHEN CAST(symbol AS BIGINT) % 2 = 1 THEN spot * 2 ELSE spot END AS futures_spot,
-       CAST(symbol AS BIGINT) % 2 = 1 AS proxy_used
-FROM spots
+SELECT symbol, asof_dt, spot, symbol AS ticker, spot AS futures_spot, false AS proxy_used FROM spots WHERE CAST(symbol AS BIGINT) % 2 = 0
+UNION ALL SELECT symbol, asof_dt, spot, symbol || '=F', spot * 2, true FROM spots WHERE CAST(symbol AS BIGINT) % 2 = 1 OR CAST(symbol AS BIGINT) % 4 = 0
 """,
 )

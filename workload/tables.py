@@ -116,15 +116,41 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spot prices; symbols with an odd key stand for futures priced at twice their proxy."""
-    odd = F.col("symbol").cast("bigint") % 2 == 1
-    return last_close(bars(spark, sf_dir)).select(
-        "symbol",
+    """Prices by asked-for ticker: odd keys stand in for a future (symbol=F) at twice their price, multiples of four also for one."""
+    key = F.col("symbol").cast("bigint")
+    own = F.when(key % 2 == 0, F.struct(F.col("symbol").alias("ticker"), F.col("spot").alias("futures_spot"), F.lit(False).alias("proxy_used")))
+    future = F.when(
+        (key % 2 == 1) | (key % 4 == 0),
+        F.struct(F.concat("symbol", F.lit("=F")).alias("ticker"), (F.col("spot") * 2).alias("futures_spot"), F.lit(True).alias("proxy_used")),
+    )
+    asked = F.inline(F.array_compact(F.array(own, future)))
+    return last_close(bars(spark, sf_dir)).select("symbol", "asof_dt", "spot", asked)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored chains, a record for each ticker and expiry: chains that two tickers asked for are there twice."""
+    none = F.lit(None).cast("double")
+    contract = F.struct(
+        "strike",
+        none.alias("lastPrice"),
+        none.alias("bid"),
+        none.alias("ask"),
+        F.col("volume").cast("double").alias("volume"),
+        F.when(F.col("open_interest") % 7 > 0, F.col("open_interest")).cast("double").alias("openInterest"),
+        F.col("implied_vol").alias("impliedVolatility"),
+    )
+    side = lambda s: F.collect_list(F.when(F.col("opt_side") == s, contract))
+    chains = chain(spark, sf_dir).groupBy("symbol", "asof_dt", "expiry").agg(side("C").alias("calls"), side("P").alias("puts"))
+    meta = F.struct(
+        F.col("symbol").alias("resolved_ticker"),
+        F.col("ticker").alias("original_ticker"),
+        "expiry",
         "asof_dt",
-        "spot",
-        F.when(odd, F.col("spot") * 2).otherwise(F.col("spot")).alias("futures_spot"),
-        odd.alias("proxy_used"),
+        F.col("spot").alias("spot_price"),
+        "futures_spot",
+        "proxy_used",
     )
+    return chains.join(chain_meta(spark, sf_dir), ["symbol", "asof_dt"]).select("calls", "puts", meta.alias("meta"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
