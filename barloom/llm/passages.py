@@ -1,8 +1,9 @@
-"""Passages that notes share: k-mer seeds, collinear chains (Fenwick tree, gap costs), aligned word by word."""
+"""Passages that notes share: k-mer seeds, collinear chains (range maxima, gap costs), aligned word by word."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from .common import HASHES, grams, mix, notes_of, sliced, working, written
 
+_NONE = (-1e300, -1)
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 
 
@@ -77,25 +79,48 @@ def _seeds(k: int, window: int):
     return run
 
 
-class PrefixMax:
-    """Fenwick tree over ranks: the best (score, index) of all ranks up to one."""
+class RangeMax:
+    """Segment tree over ranks: the best (score, index) of a range of ranks, where entries come and go."""
 
     def __init__(self, n: int):
-        self.best = [(-1e300, -1)] * (n + 1)
+        self.n = n
+        self.best = [_NONE] * (2 * n)
+        self.held: list[deque] = [deque() for _ in range(n)]
+
+    def _set(self, rank: int) -> None:
+        best, i = self.best, rank + self.n
+        best[i] = self.held[rank][0] if self.held[rank] else _NONE
+        while i > 1:
+            i >>= 1
+            best[i] = max(best[2 * i], best[2 * i + 1])
 
     def put(self, rank: int, item: tuple[float, int]) -> None:
-        rank += 1
-        while rank < len(self.best):
-            if item > self.best[rank]:
-                self.best[rank] = item
-            rank += rank & -rank
-
-    def get(self, end: int) -> tuple[float, int]:
-        """Over the ranks before ``end``."""
-        found = (-1e300, -1)
-        while end:
-            found = max(found, self.best[end])
-            end &= end - 1
+        held = self.held[rank]
+        while held and held[-1] <= item:  # older and no better: never the best again
+            held.pop()
+        held.append(item)
+        if held[0] is item:
+            self._set(rank)
+
+    def drop(self, rank: int, index: int) -> None:
+        """The oldest entries go first."""
+        held = self.held[rank]
+        if held and held[0][1] == index:
+            held.popleft()
+            self._set(rank)
+
+    def get(self, start: int, end: int) -> tuple[float, int]:
+        """Over the ranks from ``start`` and before ``end``."""
+        found, best = _NONE, self.best
+        start, end = start + self.n, end + self.n
+        while start < end:
+            if start & 1:
+                found = max(found, best[start])
+                start += 1
+            if end & 1:
+                end -= 1
+                found = max(found, best[end])
+            start, end = start >> 1, end >> 1
         return found
 
 
@@ -103,19 +128,22 @@ def collinear_chains(pos: list[int], other: list[int], k: int, gap_cost: float,
     """Chains of matches that rise in both texts, best first, as indices; each match in one chain at most.
 
     A match is worth the words it adds (k at most), a gap costs ``gap_cost`` a skipped word in either text.  The cost is
-    linear, so the best predecessor of a match is a prefix maximum of score + cost x (pos + other).  Chains are cut where
-    a gap exceeds ``max_gap`` words.
+    linear, so the best predecessor of a match is the maximum of score + cost x (pos + other) over the matches that lie at
+    most ``max_gap`` words before it in both texts.
     """
     order = sorted(range(len(pos)), key=lambda i: (pos[i], -other[i]))
     ranks = sorted(set(other))
-    tree = PrefixMax(len(ranks))
+    tree, old = RangeMax(len(ranks)), 0
     score, link = [0.0] * len(pos), [-1] * len(pos)
     for i in order:
         p, q = pos[i], other[i]
+        while p - pos[order[old]] > max_gap:
+            tree.drop(bisect_left(ranks, other[order[old]]), order[old])
+            old += 1
         rank = bisect_left(ranks, q)
-        best, j = tree.get(rank)
+        best, j = tree.get(bisect_left(ranks, q - max_gap), rank)
         gain = best - gap_cost * (p + q)
-        if j >= 0 and gain > 0 and p - pos[j] <= max_gap and q - other[j] <= max_gap:
+        if j >= 0 and gain > 0:
             score[i], link[i] = gain + min(k, p - pos[j], q - other[j]), j
         else:
             score[i] = float(k)

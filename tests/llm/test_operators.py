@@ -257,6 +257,22 @@ def test_chains_equal_a_quadratic_search(rng):
         assert score <= max(best.values()) + 1e-9
 
 
+def spans_of(spark, texts):
+    """The passages' texts by (note, source), notes numbered from 0."""
+    got = defaultdict(list)
+    for r in passages.shared_passages(simple(spark, texts)).orderBy("seq", "source", "start").collect():
+        got[r["seq"], r["source"]].append(texts[r["seq"]][r["start"] : r["end"]])
+    return dict(got)
+
+
+def test_two_passages_of_a_pair_far_apart_are_both_found(spark, rng):
+    for first, between, second in ((100, 100, 100), (500, 300, 200)):
+        p, q = prose(rng, first), prose(rng, second)
+        texts = [" ".join([p, prose(rng, between), q]) for _ in range(2)]
+        found = spans_of(spark, texts)[1, 0]
+        assert len(found) == 2 and found[0] in p and found[1] in q
+
+
 # ---- top k, fixity, mixing, fingerprints, toxicity ----
 
 
