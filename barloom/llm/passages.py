@@ -207,41 +207,101 @@ def _common(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """From just beyond a match, over equal words and over single changed words with two equal ones behind: (i, j, equal)."""
-    equal = 0
+def _extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """From just beyond a match, over equal words and over single changed words with two equal ones behind.
+
+    (i, j, stretches), where a stretch is (words of a, words of b, equal words): equal and unequal ones.
+    """
+    out = []
     inside = lambda x, y: 0 <= x < len(a) and 0 <= y < len(b)
     while True:
+        n = i
         while inside(i, j) and a[i] == b[j]:
-            i, j, equal = i + step, j + step, equal + 1
+            i, j = i + step, j + step
+        if i != n:
+            out.append((abs(i - n),) * 3)
         for di, dj in ((step, step), (step, 0), (0, step)):
             x, y = i + di, j + dj
             if inside(x + step, y + step) and a[x] == b[y] and a[x + step] == b[y + step]:
+                out.append((abs(di), abs(dj), 0))
                 i, j = x, y
                 break
         else:
-            return i, j, equal
+            return i, j, out
+
 
+def align(a: list[str], b: list[str], pos: list[int], other: list[int], k: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """(from, other from, stretches) of what lies around a chain of matches of k words.
 
-def align(a: list[str], b: list[str], pos: list[int], other: list[int], k: int) -> tuple[int, int, int, int, int]:
-    """(from, to, other from, other to, equal words) of the passage around a chain of matches of k words."""
-    i0, j0, equal = _extend(a, b, pos[0] - 1, other[0] - 1, -1)
+    Stretches are (words of a, words of b, equal words) in order; those between two matches count their common words.
+    """
+    i0, j0, before = _extend(a, b, pos[0] - 1, other[0] - 1, -1)
+    out = before[::-1]
     i, j = pos[0], other[0]
     for p, q in zip(pos, other):
         if p >= i and q >= j:
-            equal += _common(a[i:p], b[j:q])
-            equal += k
+            if p > i or q > j:
+                out.append((p - i, q - j, _common(a[i:p], b[j:q])))
+            out.append((k, k, k))
             i, j = p + k, q + k
         elif p - q == i - j:  # overlaps the match before, on its diagonal
-            equal += p + k - i
+            out.append((p + k - i,) * 3)
             i, j = p + k, q + k
         else:
             skip = max(i - p, j - q)
             if skip < k:
-                equal += k - skip
+                out.append((p + skip - i, q + skip - j, 0))
+                out.append((k - skip,) * 3)
                 i, j = p + k, q + k
-    i, j, more = _extend(a, b, i, j, 1)
-    return i0 + 1, i, j0 + 1, j, equal + more
+    out += _extend(a, b, i, j, 1)[2]
+    return i0 + 1, j0 + 1, out
+
+
+def passages_in(stretches: list[tuple[int, int, int]], min_words: int, similarity: float, edit: int) -> list[tuple[int, int]]:
+    """The parts (from, to) of an alignment that are passages, by numbers of stretches.
+
+    A passage has ``min_words`` words and its equal words are at least ``similarity`` of the longer side; one that can
+    be longer is left out.  An unequal stretch of more than ``edit`` words with a passage on both sides divides them.
+    """
+    runs: list[list[int]] = []  # first and last stretch of each run of equal words
+    for i, (m, n, equal) in enumerate(stretches):
+        if m == n == equal:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+    if not runs:
+        return []
+    sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(np.array(stretches, np.int64), axis=0)])
+    first, last = np.array(runs).T
+
+    def are(x, y):
+        m, n, equal = (sums[last[y]] - sums[first[x]]).T
+        return (m >= min_words) & (equal >= similarity * np.maximum(m, n))
+
+    found, done = [], -1
+    for x in range(len(runs)):
+        if done == len(runs) - 1:
+            break
+        good = np.flatnonzero(are(x, np.arange(max(x, done + 1), len(runs))))
+        if len(good):
+            done = max(x, done + 1) + int(good[-1])
+            found.append((x, done))
+    gaps = np.maximum(*(sums[first[1:]] - sums[last[:-1]]).T[:2])
+    out = []
+    while found:
+        x, y = found.pop()
+        inner = np.arange(x, y)
+        inner = inner[gaps[x:y] > edit]
+        if len(inner):
+            inner = inner[are(x, inner) & are(inner + 1, y)]
+        if len(inner):
+            cut = int(inner[gaps[inner].argmax()])
+            found += [(x, cut), (cut + 1, y)]
+        else:
+            out.append((int(first[x]), int(last[y])))
+    out = sorted(set(out), key=lambda r: (r[0], -r[1]))
+    return [r for i, r in enumerate(out) if not any(o[1] >= r[1] for o in out[:i])]
 
 
 _SPAN = T.StructType(
@@ -249,18 +309,23 @@ _SPAN = T.StructType(
 )
 
 
-def _aligned(k: int):
-    @F.pandas_udf(_SPAN)
+def _aligned(k: int, min_words: int, similarity: float):
+    @F.pandas_udf(T.ArrayType(_SPAN))
     def run(
         a: pd.Series, b: pd.Series, pos: pd.Series, other: pd.Series, sa: pd.Series, fa: pd.Series, sb: pd.Series, fb: pd.Series
-    ) -> pd.DataFrame:
+    ) -> pd.Series:
         rows = []
         for x, y, p, q, s, f, u, g in zip(a, b, pos, other, sa, fa, sb, fb):
-            (s0, e0), (s1, e1) = word_places(x), word_places(y)
+            (s0, e0), (s1, t1) = word_places(x), word_places(y)
             ip, iq = int(np.searchsorted(s0, s - f)), int(np.searchsorted(s1, u - g))
-            lo, hi, lo1, hi1, equal = align(x.lower().split(), y.lower().split(), [ip + v for v in p], [iq + v for v in q], k)
-            rows.append((f + s0[lo], f + e0[hi - 1], hi - lo, g + s1[lo1], g + e1[hi1 - 1], hi1 - lo1, equal))
-        return pd.DataFrame(rows, columns=_SPAN.names).astype("int32")
+            lo, lo1, parts = align(x.lower().split(), y.lower().split(), [ip + v for v in p], [iq + v for v in q], k)
+            ends = np.cumsum([(lo, lo1, 0), *parts], axis=0).tolist()
+            row = []
+            for n, m in passages_in(parts, min_words, similarity, k):
+                (i, j, e), (i1, j1, e1) = ends[n], ends[m]
+                row.append((f + s0[i], f + e0[i1 - 1], i1 - i, g + s1[j], g + t1[j1 - 1], j1 - j, e1 - e))
+            rows.append([dict(zip(_SPAN.names, map(int, r))) for r in row])
+        return pd.Series(rows, dtype=object)
 
     return run
 
@@ -285,7 +350,8 @@ def shared_passages(
     Seeds are the minimizers among runs of ``k`` words: in every run of k + window - 1 equal words there is a shared one.
     Every seed is matched with the first note that has it, so a passage of n notes gives n - 1 matches a seed, never all
     pairs.  The matches of a note with an earlier one become chains; the text around each chain is cut out of both notes
-    and aligned word by word.
+    and aligned word by word.  The longest parts of an alignment that are passages are reported, and where more than ``k``
+    unequal words have a passage on both sides, these are two.
 
     Null and empty texts, texts below ``min_words`` words and rows with a null key have no passages; repeated rows count as
     one note; passages inside one note are none.  Ties go to the smallest key.  Extra columns are left out.
@@ -309,8 +375,8 @@ def shared_passages(
     names = chains.columns
     left = chains.join(texts, "k").select(*names, cut("a_from", "a_to").alias("a"))
     both = left.join(texts.withColumnRenamed("k", "owner"), "owner").select(*names, "a", cut("b_from", "b_to").alias("b"))
-    got = _aligned(k)("a", "b", "pos", "other", "start", "a_from", "other_start", "b_from")
-    spans = both.select("k", "owner", got.alias("s")).select(
+    got = _aligned(k, min_words, similarity)("a", "b", "pos", "other", "start", "a_from", "other_start", "b_from")
+    spans = both.select("k", "owner", F.explode(got).alias("s")).select(
         F.col("k").alias(key),
         "s.start",
         "s.end",
@@ -320,7 +386,7 @@ def shared_passages(
         F.col("s.other_end").alias("source_end"),
         (F.col("s.equal_words") / F.greatest("s.n_words", "s.other_words")).alias("similarity"),
     )
-    return spans.filter((F.col("n_words") >= min_words) & (F.col("similarity") >= similarity)).distinct()
+    return spans.distinct()
 
 
 def without_passages(notes: DataFrame, spans: DataFrame, key: str = "seq", text: str = "reason") -> DataFrame:

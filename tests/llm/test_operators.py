@@ -273,6 +273,33 @@ def test_two_passages_of_a_pair_far_apart_are_both_found(spark, rng):
         assert len(found) == 2 and found[0] in p and found[1] in q
 
 
+def test_unequal_words_between_passages_divide_them(spark, rng):
+    for between in (8, 20, 30, 40, 50):
+        p, q = prose(rng, 75), prose(rng, 75)
+        texts = [" ".join([p, prose(rng, between), q]) for _ in range(2)]
+        found = spans_of(spark, texts)[1, 0]
+        assert len(found) == 2 and found[0] in p and found[1] in q
+
+
+def test_passages_in_an_alignment(rng):
+    same, other = lambda n: (n, n, n), lambda n: (n, n, 0)
+    find = lambda *parts: passages.passages_in(list(parts), 50, 0.8, 6)
+    assert find() == [] and find(same(49)) == [] and find(same(50)) == [(0, 1)]
+    assert find(same(60), other(45), same(60)) == [(0, 1), (2, 3)]
+    assert find(same(60), other(25), same(60)) == [(0, 1), (2, 3)]
+    assert find(same(60), other(6), same(60)) == [(0, 3)]  # an edit
+    assert find(same(45), other(16), same(45)) == [(0, 3)]  # no passage without the other half
+    assert find(same(10), other(90), same(70)) == [(2, 3)]
+    for _ in range(300):
+        parts = [f(rng.randrange(1, 40)) for _ in range(4) for f in (same, other)]
+        good = lambda x, y: (w := sum(m for m, _, _ in parts[x:y])) >= 50 and sum(e for *_, e in parts[x:y]) >= 0.8 * w  # noqa: E731, F821
+        all_good = [(x, y) for x in range(0, 8, 2) for y in range(x + 1, 8, 2) if good(x, y)]
+        found = find(*parts)
+        assert set(found) <= set(all_good)
+        covered = {i for x, y in found for i in range(x, y, 2)}
+        assert covered == {i for x, y in all_good for i in range(x, y, 2)}  # no equal word is lost
+
+
 # ---- top k, fixity, mixing, fingerprints, toxicity ----
 
 
