@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from .common import HASHES, grams, mix, notes_of, sliced, working, written
 
+#: So many times ``min_words`` words on either side of a chain are aligned.
+REACH = 2
 _NONE = (-1e300, -1)
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 
@@ -47,7 +49,7 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seeds(k: int, window: int):
+def _seeds(k: int, window: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("hashes", HASHES.clear)
         for batch in sliced(batches):
@@ -61,8 +63,7 @@ def _seeds(k: int, window: int):
                 # In repetitive text the n-th occurrence of a seed is a seed of its own: one partner each, no squares.
                 seed = mix(h[at] + occurrences(h[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 start, end = word_places(text)
-                before = np.concatenate([[0], start[at[:-1]]])
-                after = np.concatenate([end[at[1:] + k - 1], [len(text)]])
+                before, after = start[np.maximum(at - reach, 0)], end[np.minimum(at + k - 1 + reach, len(end) - 1)]
                 parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at, start[at], before, after))
                 if len(parts) == 500:
                     yield pack(parts)
@@ -167,8 +168,8 @@ _CHAIN = (
 )
 
 
-def _chain(k: int, window: int, min_words: int, gap_cost: float, max_gap: int):
-    """(k, owner, anchors) -> its chains that can reach ``min_words``, with the stretch of either text they may span."""
+def _chain(k: int, gap_cost: float, max_gap: int):
+    """(k, owner, anchors) -> its chains, with the stretch of either text to align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("chains")
@@ -179,8 +180,6 @@ def _chain(k: int, window: int, min_words: int, gap_cost: float, max_gap: int):
                 pos, other = [x["pos"] for x in a], [x["other"] for x in a]
                 for chain in collinear_chains(pos, other, k, gap_cost, max_gap):
                     x, y = a[chain[0]], a[chain[-1]]
-                    if y["pos"] - x["pos"] + k + 2 * window < min_words:
-                        continue
                     row = (r["k"], r["owner"], [pos[i] - x["pos"] for i in chain], [other[i] - x["other"] for i in chain], x["start"], x["before"],
                            y["after"], x["other_start"], x["other_before"], y["other_after"])
                     for c, v in zip(out, row):
@@ -240,9 +239,16 @@ def align(a: list[str], b: list[str], pos: list[int], other: list[int], k: int)
     i, j = pos[0], other[0]
     for p, q in zip(pos, other):
         if p >= i and q >= j:
-            if p > i or q > j:
-                out.append((p - i, q - j, _common(a[i:p], b[j:q])))
-            out.append((k, k, k))
+            x, y, start = p, q, i
+            while i < p and j < q and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            while x > i and y > j and a[x - 1] == b[y - 1]:
+                x, y = x - 1, y - 1
+            if i > start:
+                out.append((i - start,) * 3)
+            if x > i or y > j:
+                out.append((x - i, y - j, _common(a[i:x], b[j:y])))
+            out.append((p + k - x,) * 3)
             i, j = p + k, q + k
         elif p - q == i - j:  # overlaps the match before, on its diagonal
             out.append((p + k - i,) * 3)
@@ -318,7 +324,7 @@ def _aligned(k: int, min_words: int, similarity: float):
         for x, y, p, q, s, f, u, g in zip(a, b, pos, other, sa, fa, sb, fb):
             (s0, e0), (s1, t1) = word_places(x), word_places(y)
             ip, iq = int(np.searchsorted(s0, s - f)), int(np.searchsorted(s1, u - g))
-            lo, lo1, parts = align(x.lower().split(), y.lower().split(), [ip + v for v in p], [iq + v for v in q], k)
+            lo, lo1, parts = align(x.lower().split(), y.lower().split(), [ip + int(v) for v in p], [iq + int(v) for v in q], k)
             ends = np.cumsum([(lo, lo1, 0), *parts], axis=0).tolist()
             row = []
             for n, m in passages_in(parts, min_words, similarity, k):
@@ -349,15 +355,15 @@ def shared_passages(
 
     Seeds are the minimizers among runs of ``k`` words: in every run of k + window - 1 equal words there is a shared one.
     Every seed is matched with the first note that has it, so a passage of n notes gives n - 1 matches a seed, never all
-    pairs.  The matches of a note with an earlier one become chains; the text around each chain is cut out of both notes
-    and aligned word by word.  The longest parts of an alignment that are passages are reported, and where more than ``k``
+    pairs.  The matches of a note with an earlier one become chains; each chain is cut out of both notes with
+    2 x ``min_words`` words on either side and aligned word by word.  The longest parts of an alignment that are passages are reported, and where more than ``k``
     unequal words have a passage on both sides, these are two.
 
     Null and empty texts, texts below ``min_words`` words and rows with a null key have no passages; repeated rows count as
     one note; passages inside one note are none.  Ties go to the smallest key.  Extra columns are left out.
     """
     texts = notes_of(notes, key, text)
-    seeds = texts.mapInArrow(_seeds(k, window), "seed bigint, k bigint, pos int, start int, before int, after int")
+    seeds = texts.mapInArrow(_seeds(k, window, REACH * min_words), "seed bigint, k bigint, pos int, start int, before int, after int")
     seeds = written(seeds, "seeds")
     first = seeds.groupBy("seed").agg(F.min("k").alias("owner"), F.max("k").alias("last")).filter("owner < last").drop("last")
     common = seeds.join(first, "seed")
@@ -369,7 +375,7 @@ def shared_passages(
         F.col("o.start").alias("other_start"), F.col("o.before").alias("other_before"), F.col("o.after").alias("other_after"),
     )
     pairs = matched.groupBy("k", "owner").agg(F.collect_set(anchor).alias("anchors")).filter(F.size("anchors") > 1)
-    chains = pairs.mapInArrow(_chain(k, window, min_words, gap_cost, max_gap), _CHAIN)
+    chains = pairs.mapInArrow(_chain(k, gap_cost, max_gap), _CHAIN)
 
     cut = lambda lo, hi: F.substring(F.col("t"), F.col(lo) + 1, F.col(hi) - F.col(lo))
     names = chains.columns

@@ -300,6 +300,13 @@ def test_passages_in_an_alignment(rng):
         assert covered == {i for x, y in all_good for i in range(x, y, 2)}  # no equal word is lost
 
 
+def test_passages_reach_to_their_last_word(spark, rng):
+    shared = [prose(rng, n) for n in (50, 51, 52, 55) for _ in range(8)]
+    texts = [" ".join([prose(rng, 60), p, prose(rng, 60)]) for p in shared for _ in range(2)]
+    found = spans_of(spark, texts)
+    assert all(p in found[2 * i + 1, 2 * i][0] for i, p in enumerate(shared))
+
+
 # ---- top k, fixity, mixing, fingerprints, toxicity ----
 
 
