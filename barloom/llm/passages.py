@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
@@ -49,14 +50,14 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seeds(k: int, window: int, reach: int):
+def _seeds(k: int, window: int, least: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("hashes", HASHES.clear)
         for batch in sliced(batches):
             parts: list[tuple] = []
             for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
                 words = text.lower().split()
-                if key is None or len(words) < k:
+                if key is None or len(words) < max(k, least):  # neither a passage nor the source of one
                     continue
                 h = grams(HASHES.of(words), k)
                 at = minimizers(h, window)
@@ -207,7 +208,8 @@ def _common(a: list[str], b: list[str]) -> int:
 
 
 def _extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """From just beyond a match, over equal words and over single changed words with two equal ones behind.
+    """From just beyond a match, over equal words, single changed words with two equal ones behind, and longer edits with
+    a run of equal words behind: the seeds there may belong to other notes.
 
     (i, j, stretches), where a stretch is (words of a, words of b, equal words): equal and unequal ones.
     """
@@ -226,7 +228,25 @@ def _extend(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int,
                 i, j = x, y
                 break
         else:
-            return i, j, out
+            di, dj = _next_run(a, b, i, j, step)
+            if not di and not dj:
+                return i, j, out
+            x, y = i + step * di, j + step * dj
+            cut = (a[i:x], b[j:y]) if step > 0 else (a[x + 1 : i + 1], b[y + 1 : j + 1])
+            out.append((di, dj, _common(*cut)))
+            i, j = x, y
+
+
+def _next_run(a: list[str], b: list[str], i: int, j: int, step: int, n: int = 4, look: int = 30) -> tuple[int, int]:
+    """How many words to skip in either text to the nearest run of ``n`` equal words; (0, 0) if there is none."""
+    x, y = (a[i : i + look], b[j : j + look]) if step > 0 else (a[max(i - look + 1, 0) : i + 1][::-1], b[max(j - look + 1, 0) : j + 1][::-1])
+    if len(set(x) & set(y)) == 0:
+        return 0, 0
+    at: dict[tuple, int] = {}
+    for d in range(len(y) - n, -1, -1):
+        at[tuple(y[d : d + n])] = d
+    found = [(d + at[g], d, at[g]) for d in range(len(x) - n + 1) if (g := tuple(x[d : d + n])) in at]
+    return min(found)[1:] if found else (0, 0)
 
 
 def align(a: list[str], b: list[str], pos: list[int], other: list[int], k: int) -> tuple[int, int, list[tuple[int, int, int]]]:
@@ -356,14 +376,14 @@ def shared_passages(
     Seeds are the minimizers among runs of ``k`` words: in every run of k + window - 1 equal words there is a shared one.
     Every seed is matched with the first note that has it, so a passage of n notes gives n - 1 matches a seed, never all
     pairs.  The matches of a note with an earlier one become chains; each chain is cut out of both notes with
-    2 x ``min_words`` words on either side and aligned word by word.  The longest parts of an alignment that are passages are reported, and where more than ``k``
+    2 x ``min_words`` words on either side and aligned word by word, whichever notes the seeds there belong to.  The longest parts of an alignment that are passages are reported, and where more than ``k``
     unequal words have a passage on both sides, these are two.
 
     Null and empty texts, texts below ``min_words`` words and rows with a null key have no passages; repeated rows count as
     one note; passages inside one note are none.  Ties go to the smallest key.  Extra columns are left out.
     """
     texts = notes_of(notes, key, text)
-    seeds = texts.mapInArrow(_seeds(k, window, REACH * min_words), "seed bigint, k bigint, pos int, start int, before int, after int")
+    seeds = texts.mapInArrow(_seeds(k, window, math.ceil(similarity * min_words), REACH * min_words), "seed bigint, k bigint, pos int, start int, before int, after int")
     seeds = written(seeds, "seeds")
     first = seeds.groupBy("seed").agg(F.min("k").alias("owner"), F.max("k").alias("last")).filter("owner < last").drop("last")
     common = seeds.join(first, "seed")
@@ -374,7 +394,7 @@ def shared_passages(
         "pos", F.col("o.pos").alias("other"), "start", "before", "after",
         F.col("o.start").alias("other_start"), F.col("o.before").alias("other_before"), F.col("o.after").alias("other_after"),
     )
-    pairs = matched.groupBy("k", "owner").agg(F.collect_set(anchor).alias("anchors")).filter(F.size("anchors") > 1)
+    pairs = matched.groupBy("k", "owner").agg(F.collect_set(anchor).alias("anchors"))
     chains = pairs.mapInArrow(_chain(k, gap_cost, max_gap), _CHAIN)
 
     cut = lambda lo, hi: F.substring(F.col("t"), F.col(lo) + 1, F.col(hi) - F.col(lo))

@@ -307,6 +307,20 @@ def test_passages_reach_to_their_last_word(spark, rng):
     assert all(p in found[2 * i + 1, 2 * i][0] for i, p in enumerate(shared))
 
 
+def test_passages_with_seeds_of_several_earlier_notes(spark, rng):
+    texts = []
+    for edit in (0, 5):
+        words = prose(rng, 75).split()
+        texts += [" ".join([prose(rng, 60), *words[:40], prose(rng, 60)])]
+        for _ in range(2):
+            texts += [" ".join([prose(rng, 60), *words, prose(rng, 60)])]
+            words[18 : 18 + edit] = prose(rng, edit).split()
+    found = spans_of(spark, texts)
+    for i in (2, 5):
+        whole = " ".join(texts[i].split()[60:135])
+        assert whole in found[i, i - 1][0]
+
+
 # ---- top k, fixity, mixing, fingerprints, toxicity ----
 
 
