@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +61,11 @@ def _seeds(k: int, window: int, least: int, reach: int):
                     continue
                 h = grams(HASHES.of(words), k)
                 at = minimizers(h, window)
-                # In repetitive text the n-th occurrence of a seed is a seed of its own: one partner each, no squares.
-                seed = mix(h[at] + occurrences(h[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                # Every occurrence of a seed meets the first one of the earlier note.  In repetitive text the n-th one is
+                # also a seed of its own, so that it meets the n-th: two partners each, no squares.
+                nth = occurrences(h[at]).astype(np.uint64)
+                at, nth = np.concatenate([at, at[nth > 0]]), np.concatenate([nth * np.uint64(0), nth[nth > 0]])
+                seed = mix(h[at] + nth * np.uint64(0x9E3779B97F4A7C15))
                 start, end = word_places(text)
                 before, after = start[np.maximum(at - reach, 0)], end[np.minimum(at + k - 1 + reach, len(end) - 1)]
                 parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at, start[at], before, after))
@@ -163,13 +166,35 @@ def collinear_chains(pos: list[int], other: list[int], k: int, gap_cost: float,
     return chains
 
 
+def unlike(chains: list[list[int]], pos: list[int], other: list[int], k: int, min_words: int) -> list[list[int]]:
+    """Without the chains whose matches all lie in a certain passage of an earlier chain: runs of one repeated word.
+
+    Matches on one diagonal without a word between them are a certain passage if they reach ``min_words`` words.
+    """
+    certain: set[int] = set()
+    out = []
+    for chain in chains:
+        if certain and all(pos[i] in certain for i in chain):
+            continue
+        out.append(chain)
+        run = chain[:1]
+        for i, j in zip(chain, chain[1:] + [-1]):
+            if j >= 0 and pos[j] - pos[i] == other[j] - other[i] <= k:
+                run.append(j)
+                continue
+            if pos[i] - pos[run[0]] + k >= min_words:
+                certain.update(pos[x] for x in run)
+            run = [j]
+    return out
+
+
 _ANCHORS = "array<struct<pos:int,other:int,start:int,before:int,after:int,other_start:int,other_before:int,other_after:int>>"
 _CHAIN = (
     "k bigint, owner bigint, pos array<int>, other array<int>, start int, a_from int, a_to int, other_start int, b_from int, b_to int"
 )
 
 
-def _chain(k: int, gap_cost: float, max_gap: int):
+def _chain(k: int, min_words: int, gap_cost: float, max_gap: int):
     """(k, owner, anchors) -> its chains, with the stretch of either text to align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +204,7 @@ def _chain(k: int, gap_cost: float, max_gap: int):
             for r in batch.to_pylist():
                 a = r["anchors"]
                 pos, other = [x["pos"] for x in a], [x["other"] for x in a]
-                for chain in collinear_chains(pos, other, k, gap_cost, max_gap):
+                for chain in unlike(collinear_chains(pos, other, k, gap_cost, max_gap), pos, other, k, min_words):
                     x, y = a[chain[0]], a[chain[-1]]
                     row = (r["k"], r["owner"], [pos[i] - x["pos"] for i in chain], [other[i] - x["other"] for i in chain], x["start"], x["before"],
                            y["after"], x["other_start"], x["other_before"], y["other_after"])
@@ -375,7 +400,7 @@ def shared_passages(
 
     Seeds are the minimizers among runs of ``k`` words: in every run of k + window - 1 equal words there is a shared one.
     Every seed is matched with the first note that has it, so a passage of n notes gives n - 1 matches a seed, never all
-    pairs.  The matches of a note with an earlier one become chains; each chain is cut out of both notes with
+    pairs; each of its occurrences in the later note meets the first one in the earlier note, and the n-th one the n-th.  The matches of a note with an earlier one become chains; each chain is cut out of both notes with
     2 x ``min_words`` words on either side and aligned word by word, whichever notes the seeds there belong to.  The longest parts of an alignment that are passages are reported, and where more than ``k``
     unequal words have a passage on both sides, these are two.
 
@@ -395,7 +420,7 @@ def shared_passages(
         F.col("o.start").alias("other_start"), F.col("o.before").alias("other_before"), F.col("o.after").alias("other_after"),
     )
     pairs = matched.groupBy("k", "owner").agg(F.collect_set(anchor).alias("anchors"))
-    chains = pairs.mapInArrow(_chain(k, gap_cost, max_gap), _CHAIN)
+    chains = pairs.mapInArrow(_chain(k, min_words, gap_cost, max_gap), _CHAIN)
 
     cut = lambda lo, hi: F.substring(F.col("t"), F.col(lo) + 1, F.col(hi) - F.col(lo))
     names = chains.columns
@@ -412,7 +437,10 @@ def shared_passages(
         F.col("s.other_end").alias("source_end"),
         (F.col("s.equal_words") / F.greatest("s.n_words", "s.other_words")).alias("similarity"),
     )
-    return spans.distinct()
+    # Several chains may find the same words of the same source: only spans that lie in no other one.
+    longest = Window.partitionBy(key, "source").orderBy("start", F.desc("end"), F.desc("similarity"), "source_start", "source_end")
+    reached = F.max("end").over(longest.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("_reached", reached).filter("_reached is null or end > _reached").drop("_reached")
 
 
 def without_passages(notes: DataFrame, spans: DataFrame, key: str = "seq", text: str = "reason") -> DataFrame:

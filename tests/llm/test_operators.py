@@ -321,6 +321,15 @@ def test_passages_with_seeds_of_several_earlier_notes(spark, rng):
         assert whole in found[i, i - 1][0]
 
 
+def test_every_copy_of_a_passage_is_found(spark, rng):
+    p, quoted, long = prose(rng, 75), prose(rng, 75).split(), "same " * 400
+    texts = [" ".join([prose(rng, 40), p]), " ".join([p, prose(rng, 40), p, prose(rng, 40), p])]
+    texts += [" ".join(quoted), " ".join([*quoted[20:50], prose(rng, 80), *quoted]), long, long]
+    found = spans_of(spark, texts)
+    assert found[1, 0] == [p] * 3 and found[3, 2] == [" ".join(quoted)]
+    assert [x.count("same") for x in found[5, 4]] == [400]
+
+
 # ---- top k, fixity, mixing, fingerprints, toxicity ----
 
 
