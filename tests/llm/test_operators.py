@@ -352,6 +352,24 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(three, three, k=20).count() == 6
 
 
+def test_top_k_deals_the_shards_of_a_query_block_over_tasks(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.integers(-4, 5, (4000, 6)).astype(float))]
+    df = spark.createDataFrame(rows, "seq bigint, factors array<double>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = topk.top_k(df, df.filter("seq < 3"), k=5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(x["query"], x["rank"]): x["score"] for x in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert re.search(r"Join \[block#\d+, salt#\d+\]", plan)
+    full = np.array([v for _, v in rows])
+    for q in range(3):
+        assert [got[q, n] for n in range(1, 6)] == sorted(np.delete(full @ full[q], q).tolist(), reverse=True)[:5]
+
+
 def test_audit_finds_every_fault(spark):
     r = np.random.default_rng(2)
     rows = [(f, i, bytes(r.integers(0, 256, r.integers(0, 90)).astype(np.uint8))) for f in ("a", "b", "c") for i in range(200)]
