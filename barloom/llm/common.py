@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries a worker's memo may hold before it starts anew.
@@ -16,10 +16,12 @@ MEMO = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of its own only on one machine, where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the executors need a folder they share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -39,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
+    """Adds each row's number (from 0) in ascending ``order``, nulls first: range partitions, and the rows before each of them.
+
+    Tasks number their own range; only one count for each partition is summed in one place.
+    """
+    held = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    held = written(held, "numbered").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return held.join(parts, "_part").withColumn(into, number).drop("_at", "_part", "_before")
+
+
 #: Rows of an Arrow batch between Spark and Python: texts are long, so 10,000 of them are too many.
 BATCH_ROWS = 1000
 _memos: dict[str, Callable[[], None]] = {}
