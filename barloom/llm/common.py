@@ -120,17 +120,6 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def binaries(data: np.ndarray, counts: np.ndarray):
-    """An Arrow array of binary values: counts[i] items of data each."""
-    import pyarrow as pa
-
-    ends = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(np.asarray(counts) * data.itemsize, out=ends[1:])
-    return pa.Array.from_buffers(
-        pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]
-    ).cast(pa.binary())
-
-
 def connected(edges: DataFrame, a: str, b: str, rounds: Callable[[int], None] | None = None) -> DataFrame:
     """The smallest id each node of a graph is connected to: columns ``node`` and ``label``.
 

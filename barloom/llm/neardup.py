@@ -8,14 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HASHES, binaries, connected, grams, mix, notes_of, sliced, text_id, working, written
+from .common import HASHES, connected, grams, mix, notes_of, sliced, text_id, working, written
 
-#: Texts whose shingles travel together.
-_BATCH = 256
+#: Shingles, and texts, that travel together at most.
+_BLOCK_SHINGLES, _BLOCK_TEXTS = 1 << 20, (1 << 16) - 1
 
 
 def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,42 +29,62 @@ def _cut(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
+def _raw(six: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view(np.uint64).ravel()
+
+
 def _whole(b: bytes, bucket: int) -> np.ndarray:
     """Hashes again, of the six bytes and the bucket."""
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return mix(out.view(np.uint64).ravel() + np.uint64(bucket))
+    return mix(_raw(np.frombuffer(b, np.uint8).reshape(-1, 6)) + np.uint64(bucket))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, f"u{len(b) // n}").astype(np.int64)
+
+
+_DEALT = "bucket int, block bigint, ids binary, totals binary, docs binary, tags binary, sizes binary, shingles binary, tf binary"
+_SHARED = "block bigint, bucket int, ids binary, totals binary, docs binary, shingles binary, tf binary, df binary"
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names = [c.split(" ") for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), names)], [n for n, _ in names])
 
 
 def _deal(words: int, buckets: int):
-    """Texts -> (bucket, ids, shingle totals, counts, shingles, frequencies) of up to 256 texts each; a text once a task."""
+    """Texts -> blocks of texts, their shingles dealt into buckets; a text once a task.
+
+    A block has a row with the ids and sizes of its texts, and a row a bucket: which texts (their place in the block, four bytes of their
+    id) have how many of their shingles there, and these.
+    """
 
-    def flush(ids, sets, tfs):
+    def flush(block, ids, sets, tfs):
         sizes = np.array([len(s) for s in sets])
+        tags = np.frombuffer(b"".join(ids), np.uint32)[::4]
         totals = np.array([t.sum() for t in tfs], np.uint32)
-        h, tf = np.concatenate(sets), np.concatenate(tfs).astype(np.uint32)
-        doc = np.repeat(np.arange(len(ids)), sizes)
+        h, tf, doc = np.concatenate(sets), np.concatenate(tfs), np.repeat(np.arange(len(ids)), sizes)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         h, tf, doc, bucket = h[order], tf[order], doc[order], bucket[order]
         found, start = np.unique(bucket, return_index=True)
-        ends = [*start[1:], len(bucket)]
-        cols: list[list] = [[] for _ in range(6)]
-        for b, i, j in zip(found, start, ends):
+        rows = [(int(block % buckets), block, b"".join(ids), totals.tobytes(), *[None] * 5)]
+        for b, i, j in zip(found, start, [*start[1:], len(bucket)]):
             docs, n = np.unique(doc[i:j], return_counts=True)
-            freq = tf[i:j]
-            row = (int(b), b"".join(ids[d] for d in docs), totals[docs].tobytes(), n.astype(np.uint32).tobytes(), _cut(h[i:j]),
-                   b"" if (freq == 1).all() else freq.tobytes())
-            for c, v in zip(cols, row):
-                c.append(v)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
-            ["bucket", "ids", "totals", "sizes", "shingles", "tf"],
-        )
+            rows.append((int(b), block, None, None, docs.astype(np.uint16).tobytes(), tags[docs].tobytes(), _narrow(n), _cut(h[i:j]), _narrow(tf[i:j])))
+        return _batch(rows, _DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("hashes", HASHES.clear)
         seen: set[bytes] = set()
+        block, room = TaskContext.get().partitionId() << 32, _BLOCK_SHINGLES
         ids, sets, tfs = [], [], []
         for batch in sliced(batches):
             for i, t in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
@@ -75,56 +96,70 @@ def _deal(words: int, buckets: int):
                 h, tf = shingles(t, words)
                 if len(h):
                     ids.append(i), sets.append(h), tfs.append(tf)
-                if len(ids) == _BATCH:
-                    yield flush(ids, sets, tfs)
+                    room -= len(h)
+                if ids and (room <= 0 or len(ids) == _BLOCK_TEXTS):
+                    yield flush(block, ids, sets, tfs)
+                    block, room = block + 1, _BLOCK_SHINGLES
                     ids, sets, tfs = [], [], []
         if ids:
-            yield flush(ids, sets, tfs)
+            yield flush(block, ids, sets, tfs)
 
     return run
 
 
-def _shared(n_texts: int, idf_share: float):
-    """Buckets -> of each text, the shingles that another text has too, with their weights."""
-
-    def weigh(bucket_rows):
-        ids = np.frombuffer(b"".join(r["ids"] for r in bucket_rows), "V16")
-        join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in bucket_rows), kind)
-        totals, sizes = join("totals", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
-        h = np.concatenate([_whole(r["shingles"], r["bucket"]) for r in bucket_rows])
-        tf = np.concatenate([np.frombuffer(r["tf"], np.uint32) if r["tf"] else np.ones(len(r["shingles"]) // 6, np.uint32) for r in bucket_rows])
-        _, first = np.unique(ids, return_index=True)  # copies of a text that other tasks sent
-        keep = np.zeros(len(ids), bool)
-        keep[first] = True
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        on = keep[doc]
-        h, tf, doc = h[on], tf[on], doc[on]
-        _, where, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[where]
-        on = df > 1
-        h, tf, doc, df = h[on], tf[on], doc[on], df[on]
-        docs, n = np.unique(doc, return_counts=True)
-        weights = (tf * idf(df, n_texts, idf_share)).astype(np.float32)
-        known = np.bincount(np.searchsorted(docs, doc), tf, len(docs)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[d].tobytes() for d in docs], pa.binary()), pa.array(totals[docs]), binaries(h, n), binaries(weights, n), pa.array(known)],
-            ["id", "total", "shingles", "weights", "known"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("shared")
-        at, rows = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if rows and r["bucket"] != at:
-                    yield weigh(rows)
-                    rows = []
-                at = r["bucket"]
-                rows.append(r)
-        if rows:
-            yield weigh(rows)
-
-    return run
+def _weigh(rows: list[dict]) -> list[tuple]:
+    """A bucket -> for each block, the shingles that several texts have, with the number of texts."""
+    bucket = rows[0]["bucket"]
+    docs = [np.frombuffer(r["docs"], np.uint16) for r in rows]
+    sizes = np.concatenate([_wide(r["sizes"], len(d)) for r, d in zip(rows, docs)])
+    tags = np.frombuffer(b"".join(r["tags"] for r in rows), np.uint32)
+    blocks = np.repeat(np.array([r["block"] for r in rows]), [len(d) for d in docs])
+    docs = np.concatenate(docs)
+    six = np.frombuffer(b"".join(r["shingles"] for r in rows), np.uint8).reshape(-1, 6)
+    h = _raw(six)
+    tf = np.concatenate([_wide(r["tf"], len(r["shingles"]) // 6) for r in rows])
+    # Copies of a text that several tasks sent have the same tag and shingles: the one of the lowest block stays, in every bucket.
+    marks = np.add.reduceat(h, np.cumsum(sizes) - sizes)
+    order = np.lexsort((docs, blocks, marks, sizes, tags))
+    again = np.zeros(len(order), bool)
+    again[1:] = True
+    for x in (tags, sizes, marks):
+        again[1:] &= x[order][1:] == x[order][:-1]
+    keep = np.ones(len(order), bool)
+    keep[order] = ~again
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    on = keep[entry]
+    h, tf, entry = h[on], tf[on], entry[on]
+    _, where, df = np.unique(h, return_inverse=True, return_counts=True)
+    df = df[where]
+    on = df > 1
+    h, tf, entry, df = h[on], tf[on], entry[on], df[on]
+    found, start = np.unique(blocks[entry], return_index=True)
+    return [
+        (int(b), bucket, None, None, docs[entry[i:j]].tobytes(), _cut(h[i:j]), _narrow(tf[i:j]), _narrow(df[i:j]))
+        for b, i, j in zip(found, start, [*start[1:], len(entry)])
+    ]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket -> for each block, what the texts of it share with other texts; rows with ids pass."""
+    working("shared")
+    at, rows = None, []
+    for batch in sliced(batches, 32):
+        out = []
+        for r in batch.to_pylist():
+            if r["ids"] is not None:
+                out.append((r["block"], -1, r["ids"], r["totals"], *[None] * 4))
+                continue
+            if rows and r["bucket"] != at:
+                out += _weigh(rows)
+                rows = []
+            at = r["bucket"]
+            rows.append(r)
+        if out:
+            yield _batch(out, _SHARED)
+    if rows and (out := _weigh(rows)):
+        yield _batch(out, _SHARED)
 
 
 def idf(df, n_texts: int, idf_share: float):
@@ -163,36 +198,43 @@ def consistent_samples(h: np.ndarray, w: np.ndarray, samples: int, seed: int = 1
     return code
 
 
-def _sign(bands: int, rows: int, similarity: float, idf_share: float):
-    """Gathered texts -> weights by shingle and a hash for each band; texts too little of which is shared go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            out: list[list] = [[] for _ in range(6)]
-            for r in batch.to_pylist():
-                h = np.frombuffer(b"".join(r["shingles"]), np.uint64)
-                w = np.frombuffer(b"".join(r["weights"]), np.float32)
-                n = int(sum(len(x) for x in r["weights"]) // 4)
-                # What only this text has counts as one private element: it weighs as much and meets no other.
-                private = float(r["total"] - r["known"]) * (1 + idf_share)
-                shared = float(w.sum(dtype=float))
-                if n == 0 or shared < (similarity - 1e-6) * (shared + private):
-                    continue
-                order = np.argsort(h)
-                h, w = h[order], w[order]
-                own = mix(np.frombuffer(r["id"], np.uint64)[:1])
-                hs, ws = (np.append(h, own), np.append(w, np.float32(private))) if private > 0 else (h, w)
-                codes = consistent_samples(hs, ws, bands * rows).reshape(bands, rows)
-                band = np.arange(bands, dtype=np.uint64)
-                for k in range(rows):
-                    band = mix(band * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
-                for c, v in zip(out, (r["id"], shared + private, shared / (shared + private), h.tobytes(), w.tobytes(), band.view(np.int64))):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.binary()),
-                 pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64()))],
-                ["id", "mass", "common", "shingles", "weights", "bands"],
-            )
+_SIGNED = "id binary, mass double, common double, shingles binary, weights binary, bands array<bigint>"
+
+
+def _sign(bands: int, rows: int, similarity: float, idf_share: float, n_texts: int):
+    """The rows of a block -> its texts' weights by shingle and a hash for each band; texts too little of which is shared go."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.to_pylist()
+        head = next(r for r in parts if r["ids"] is not None)
+        parts = [r for r in parts if r["ids"] is None]
+        ids, total = np.frombuffer(head["ids"], "V16"), np.frombuffer(head["totals"], np.uint32).astype(np.int64)
+        join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays])
+        sizes = [len(r["docs"]) // 2 for r in parts]
+        doc = join([np.frombuffer(r["docs"], np.uint16) for r in parts], np.int64)
+        h = join([_whole(r["shingles"], r["bucket"]) for r in parts], np.uint64)
+        tf, df = (join([_wide(r[c], n) for r, n in zip(parts, sizes)], np.int64) for c in ("tf", "df"))
+        w = (tf * idf(df, n_texts, idf_share)).astype(np.float32)
+        order = np.lexsort((h, doc))
+        doc, h, tf, w = doc[order], h[order], tf[order], w[order]
+        # What only one text has counts as one private element: it weighs as much and meets no other.
+        private = (total - np.bincount(doc, tf, len(ids))) * (1 + idf_share)
+        shared = np.bincount(doc, w, len(ids))
+        ends = np.searchsorted(doc, np.arange(len(ids) + 1))
+        out: list[list] = [[] for _ in range(6)]
+        for d in np.flatnonzero((shared > 0) & (shared >= (similarity - 1e-6) * (shared + private))):
+            hs, ws = h[ends[d] : ends[d + 1]], w[ends[d] : ends[d + 1]]
+            row = [ids[d].tobytes(), shared[d] + private[d], shared[d] / (shared[d] + private[d]), hs.tobytes(), ws.tobytes()]
+            if private[d] > 0:
+                hs, ws = np.append(hs, mix(np.frombuffer(row[0], np.uint64)[:1])), np.append(ws, np.float32(private[d]))
+            codes = consistent_samples(hs, ws, bands * rows).reshape(bands, rows)
+            band = np.arange(bands, dtype=np.uint64)
+            for k in range(rows):
+                band = mix(band * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
+            for c, v in zip(out, (*row, band.view(np.int64))):
+                c.append(v)
+        kinds = (pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split(" ")[0] for c in _SIGNED.split(", ")])
 
     return run
 
@@ -221,6 +263,41 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", got.alias("similarity"))
 
 
+def _further_rounds(banded: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Labels after every member of a band group outside its leader's class has led, or joined that class."""
+    near = tested.select(F.col("a").alias("node"), F.col("b").alias("lead"), "similarity")
+    groups = written(banded.filter("node <> lead").join(near, ["node", "lead"]), "groups")
+    done, led, leaders = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None, 1
+    while True:
+        lead_label = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+        now = groups.join(labels, "node", "left").join(lead_label, "lead", "left")
+        now = now.withColumn("label", F.coalesce("label", "node")).withColumn("lead_label", F.coalesce("lead_label", "lead"))
+        odd = now.filter("label <> lead_label")
+        if led is not None:
+            odd = odd.join(led, ["band", "node"], "left_anti")
+        best = Window.partitionBy("band").orderBy(F.desc("common"), "node")
+        odd = odd.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= leaders)
+        odd = written(odd.select("band", F.col("node").alias("x"), F.col("similarity").alias("sx"), F.col("label").alias("lx")), "leaders")
+        if not odd.limit(1).count():
+            return labels
+        led = odd.select("band", F.col("x").alias("node")) if led is None else led.union(odd.select("band", F.col("x").alias("node")))
+        meet = now.join(odd, "band").filter((F.col("label") != F.col("lx")) & (F.abs(F.col("similarity") - F.col("sx")) <= 1 - similarity + 1e-6))
+        meet = meet.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        more = written(_similarities(meet.join(done, ["a", "b"], "left_anti"), sets), "tested")
+        done = done.union(more.select("a", "b"))
+        links = more.filter(F.col("similarity") >= similarity)
+        if links.limit(1).count():
+            links = links.select("a", "b")
+            for c in ("a", "b"):  # between classes
+                of = labels.select(F.col("node").alias(c), F.col("label").alias("_l"))
+                links = links.join(of, c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+            merged = connected(links.distinct(), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+            alone = merged.select(F.col("label").alias("node"), "label").join(labels, "node", "left_anti")
+            both = labels.union(alone.select("node", "label")).join(merged, "label", "left")
+            labels = written(both.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        leaders *= 2
+
+
 def near_duplicates(
     notes: DataFrame,
     key: str = "seq",
@@ -240,13 +317,14 @@ def near_duplicates(
     texts) and 1 + ``idf_share`` (in one), counted over all distinct texts.  The share is small because in a large
     group of near copies the edits are the rare shingles: with a plain idf they would outweigh what is common.
 
-    Texts travel as hashes, dealt into ``buckets`` by shingle (as many as shuffle partitions unless given),
-    where document frequencies are counted.  What only one text has comes back as one private element.  Texts of
+    Texts travel in blocks, as six bytes a shingle, dealt into ``buckets`` (as many as shuffle partitions unless given), where document
+    frequencies are counted; what several texts have comes back to its block.  What only one text has is one private element.  Texts of
     which less than ``similarity`` is shared cannot be linked and go.  The others get ``bands`` x ``rows`` consistent
     samples; a pair of similarity 0.8 shares no band with a probability below 1e-6.  In every band group all
-    members are compared with the one whose text is shared most; members that stay in another class than that
-    leader are then compared with every member of a class other than theirs that the distances to the leader
-    don't rule out (1 - similarity is a metric).  So a group costs one comparison a member, unless classes collide.
+    members are compared with the one whose text is shared most.  While a group still has members outside that leader's class, the
+    best of them lead in turn (one in the first round, twice as many in each further one) and are compared with the members of other classes that the
+    distances to the first leader don't rule out (1 - similarity is a metric).  A round costs one comparison for each member and leader, and links
+    merge whole classes, so few rounds are needed; only members that are linked to nobody all become leaders.
 
     Null texts are empty.  Empty texts form one class; texts below ``words`` words have one shingle of all their
     words.  A null key takes no part in ``class_id`` unless all keys of a class are null.  Repeated rows stay, extra columns are
@@ -259,17 +337,9 @@ def near_duplicates(
     groups = written(texts.groupBy("id").agg(F.min("k").alias("node")), "texts")
     n_texts = groups.count()
 
-    dealt = texts.select("id", "t").mapInArrow(
-        _deal(words, buckets), "bucket int, ids binary, totals binary, sizes binary, shingles binary, tf binary"
-    )
-    dealt = dealt.repartitionById(buckets, "bucket")
-    shared = dealt.mapInArrow(_shared(n_texts, idf_share), "id binary, total bigint, shingles binary, weights binary, known bigint")
-    whole = shared.groupBy("id").agg(
-        F.first("total").alias("total"), F.sum("known").alias("known"), F.collect_list("shingles").alias("shingles"), F.collect_list("weights").alias("weights")
-    )
-    signed = whole.mapInArrow(
-        _sign(bands, rows, similarity, idf_share), "id binary, mass double, common double, shingles binary, weights binary, bands array<bigint>"
-    )
+    dealt = texts.select("id", "t").mapInArrow(_deal(words, buckets), _DEALT).repartitionById(buckets, "bucket")
+    blocks = dealt.mapInArrow(_shared, _SHARED).groupBy("block")
+    signed = blocks.applyInArrow(_sign(bands, rows, similarity, idf_share, n_texts), _SIGNED)
     sets = written(signed.join(groups.filter("node is not null"), "id").drop("id"), "sets")
 
     banded = written(sets.select("node", "common", F.explode("bands").alias("band")), "bands")
@@ -278,24 +348,8 @@ def near_duplicates(
     banded = banded.join(leads.select("band", "lead"), "band")
     pairs = banded.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     tested = written(_similarities(pairs, sets), "tested")
-    links = tested.filter(F.col("similarity") >= similarity)
-    labels = connected(links, "a", "b")
-
-    # Band groups in which several classes meet.
-    near = tested.select(F.col("a").alias("node"), F.col("b").alias("lead"), "similarity")
-    one = labels.select(F.col("node"), F.col("label"))
-    seen = banded.select("node", "band", "lead").filter("node <> lead").join(near, ["node", "lead"]).join(one, "node", "left")
-    seen = seen.join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead", "left")
-    seen = seen.select(
-        "node", "band", "similarity", F.coalesce("label", "node").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label")
-    )
-    odd = seen.filter("label <> lead_label").select(F.col("node").alias("a"), "band", F.col("similarity").alias("sa"), F.col("label").alias("la"))
-    rest = seen.select(F.col("node").alias("b"), "band", F.col("similarity").alias("sb"), F.col("label").alias("lb"))
-    meet = odd.join(rest, "band").filter((F.col("la") != F.col("lb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1 - similarity + 1e-6))
-    meet = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_similarities(meet, sets).filter(F.col("similarity") >= similarity), "more")
-    if more.limit(1).count():
-        labels = connected(links.select("a", "b").union(more.select("a", "b")), "a", "b")
+    labels = connected(tested.filter(F.col("similarity") >= similarity), "a", "b")
+    labels = _further_rounds(banded, tested, labels, sets, similarity)
 
     classes = groups.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
     return texts.select("k", "id").join(classes, "id").select(F.col("k").alias(key), "class_id")

@@ -199,6 +199,39 @@ def test_near_duplicates_equal_brute_force(spark, rng):
     assert neardup.near_duplicates(simple(spark, [None, ""])).select("class_id").distinct().count() == 1
 
 
+def test_large_groups_around_the_threshold_equal_brute_force(spark, rng):
+    """Copies with one or two edits each: pairs of them lie on both sides of 0.8, and most are no link of the group's leader."""
+    texts = []
+    for n, copies, edits in ((110, 60, (1, 2)), (90, 40, (2, 2)), (130, 40, (1, 3))):
+        base = prose(rng, n).split()
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(*edits)):
+                copy[rng.randrange(n)] = prose(rng, 1)
+            texts.append(" ".join(copy))
+    got = {r["seq"]: r["class_id"] for r in neardup.near_duplicates(simple(spark, texts)).collect()}
+    sets = [dict(zip(*(x.tolist() for x in neardup.shingles(t, 5)))) for t in texts]
+    df = Counter(h for s in sets for h in s)
+    w = [{h: c * float(neardup.idf(df[h], len(set(texts)), 0.1)) for h, c in s.items()} for s in sets]
+    label = list(range(len(texts)))
+    for i in range(len(w)):
+        for j in range(i):
+            low = sum(min(x, w[j].get(h, 0)) for h, x in w[i].items())
+            if low >= 0.8 * (sum(w[i].values()) + sum(w[j].values()) - low):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert got == dict(enumerate(label))
+
+
+def test_copies_in_several_blocks_count_once(spark, rng, monkeypatch):
+    texts = [prose(rng, 60) for _ in range(30)] * 3
+    texts += [t + " end" for t in texts[:30]]
+    one = neardup.near_duplicates(simple(spark, texts)).orderBy("seq").collect()
+    monkeypatch.setattr(neardup, "_BLOCK_SHINGLES", 200)
+    assert neardup.near_duplicates(simple(spark, texts).repartition(6)).orderBy("seq").collect() == one
+    assert [r["class_id"] for r in one] == list(range(30)) * 4
+
+
 def test_samples_agree_as_often_as_the_weighted_jaccard_says():
     r = np.random.default_rng(1)
     h = neardup.mix(np.arange(1, 201, dtype=np.uint64))
