@@ -110,6 +110,7 @@ def _deal(words: int, buckets: int):
 def _weigh(rows: list[dict]) -> list[tuple]:
     """A bucket -> for each block, the shingles that several texts have, with the number of texts."""
     bucket = rows[0]["bucket"]
+    rows.sort(key=lambda r: r["block"])
     docs = [np.frombuffer(r["docs"], np.uint16) for r in rows]
     sizes = np.concatenate([_wide(r["sizes"], len(d)) for r, d in zip(rows, docs)])
     tags = np.frombuffer(b"".join(r["tags"] for r in rows), np.uint32)

@@ -50,7 +50,12 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seeds(k: int, window: int, least: int, reach: int):
+_SEEDS = "seed bigint, k bigint, pos int, first boolean"
+
+
+def _seeds(k: int, window: int, least: int):
+    """Texts -> their seeds; ``first``: not seen before in this text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("hashes", HASHES.clear)
         for batch in sliced(batches):
@@ -61,25 +66,18 @@ def _seeds(k: int, window: int, least: int, reach: int):
                     continue
                 h = grams(HASHES.of(words), k)
                 at = minimizers(h, window)
-                # Every occurrence of a seed meets the first one of the earlier note.  In repetitive text the n-th one is
-                # also a seed of its own, so that it meets the n-th: two partners each, no squares.
+                # Every occurrence of a seed meets the first one of the earlier note; in a run of one repeated seed its head does, since
+                # alignment goes on from there.  In repetitive text the n-th one is also a seed of its own, so that it meets the
+                # n-th: two partners each, no squares.
                 nth = occurrences(h[at]).astype(np.uint64)
-                at, nth = np.concatenate([at, at[nth > 0]]), np.concatenate([nth * np.uint64(0), nth[nth > 0]])
+                head = np.ones(len(at), bool)
+                head[1:] = (h[at[1:]] != h[at[:-1]]) | (np.diff(at) > window)
+                first = np.concatenate([nth[head] == 0, np.ones((nth > 0).sum(), bool)])
+                at, nth = np.concatenate([at[head], at[nth > 0]]), np.concatenate([nth[head] * np.uint64(0), nth[nth > 0]])
                 seed = mix(h[at] + nth * np.uint64(0x9E3779B97F4A7C15))
-                start, end = word_places(text)
-                before, after = start[np.maximum(at - reach, 0)], end[np.minimum(at + k - 1 + reach, len(end) - 1)]
-                parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at, start[at], before, after))
-                if len(parts) == 500:
-                    yield pack(parts)
-                    parts = []
+                parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), first))
             if parts:
-                yield pack(parts)
-
-    def pack(parts):
-        cols = [np.concatenate(c) for c in zip(*parts)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c.astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(cols)], ["seed", "k", "pos", "start", "before", "after"]
-        )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["seed", "k", "pos", "first"])
 
     return run
 
@@ -188,34 +186,33 @@ def unlike(chains: list[list[int]], pos: list[int], other: list[int], k: int, mi
     return out
 
 
-_ANCHORS = "array<struct<pos:int,other:int,start:int,before:int,after:int,other_start:int,other_before:int,other_after:int>>"
-_CHAIN = (
-    "k bigint, owner bigint, pos array<int>, other array<int>, start int, a_from int, a_to int, other_start int, b_from int, b_to int"
-)
+_CHAIN = "k bigint, owner bigint, pos array<int>, other array<int>"
 
 
 def _chain(k: int, min_words: int, gap_cost: float, max_gap: int):
-    """(k, owner, anchors) -> its chains, with the stretch of either text to align."""
+    """(k, owner, anchors) -> its chains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("chains")
         for batch in sliced(batches):
-            out: list[list] = [[] for _ in range(10)]
+            out: list[list] = [[] for _ in range(4)]
             for r in batch.to_pylist():
-                a = r["anchors"]
-                pos, other = [x["pos"] for x in a], [x["other"] for x in a]
+                pos, other = zip(*sorted((x["pos"], x["other"]) for x in r["anchors"]))
                 for chain in unlike(collinear_chains(pos, other, k, gap_cost, max_gap), pos, other, k, min_words):
-                    x, y = a[chain[0]], a[chain[-1]]
-                    row = (r["k"], r["owner"], [pos[i] - x["pos"] for i in chain], [other[i] - x["other"] for i in chain], x["start"], x["before"],
-                           y["after"], x["other_start"], x["other_before"], y["other_after"])
-                    for c, v in zip(out, row):
+                    for c, v in zip(out, (r["k"], r["owner"], [pos[i] for i in chain], [other[i] for i in chain])):
                         c.append(v)
-            kinds = [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2 + [pa.int32()] * 6
+            kinds = [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [x.split()[0] for x in _CHAIN.split(", ")])
 
     return run
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _word_starts(texts: pd.Series) -> pd.Series:
+    """Where each word of a text starts (code points), and the text's length."""
+    return pd.Series([np.append(word_places(t)[0], len(t)).astype(np.int32) for t in texts], dtype=object)
+
+
 def _common(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence; equal lengths first try place by place."""
     if len(a) == len(b):
@@ -362,19 +359,17 @@ _SPAN = T.StructType(
 
 def _aligned(k: int, min_words: int, similarity: float):
     @F.pandas_udf(T.ArrayType(_SPAN))
-    def run(
-        a: pd.Series, b: pd.Series, pos: pd.Series, other: pd.Series, sa: pd.Series, fa: pd.Series, sb: pd.Series, fb: pd.Series
-    ) -> pd.Series:
+    def run(a: pd.Series, b: pd.Series, pos: pd.Series, other: pd.Series, lo_a: pd.Series, lo_b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
         rows = []
-        for x, y, p, q, s, f, u, g in zip(a, b, pos, other, sa, fa, sb, fb):
-            (s0, e0), (s1, t1) = word_places(x), word_places(y)
-            ip, iq = int(np.searchsorted(s0, s - f)), int(np.searchsorted(s1, u - g))
-            lo, lo1, parts = align(x.lower().split(), y.lower().split(), [ip + int(v) for v in p], [iq + int(v) for v in q], k)
-            ends = np.cumsum([(lo, lo1, 0), *parts], axis=0).tolist()
+        for x, y, p, q, u, v, f, g in zip(a, b, pos, other, lo_a, lo_b, fa, fb):
+            lo, lo1, parts = align(x.lower().split(), y.lower().split(), (p - u).tolist(), (q - v).tolist(), k)
             row = []
-            for n, m in passages_in(parts, min_words, similarity, k):
-                (i, j, e), (i1, j1, e1) = ends[n], ends[m]
-                row.append((f + s0[i], f + e0[i1 - 1], i1 - i, g + s1[j], g + t1[j1 - 1], j1 - j, e1 - e))
+            if found := passages_in(parts, min_words, similarity, k):
+                (s0, e0), (s1, t1) = word_places(x), word_places(y)
+                ends = np.cumsum([(lo, lo1, 0), *parts], axis=0).tolist()
+                for n, m in found:
+                    (i, j, e), (i1, j1, e1) = ends[n], ends[m]
+                    row.append((f + s0[i], f + e0[i1 - 1], i1 - i, g + s1[j], g + t1[j1 - 1], j1 - j, e1 - e))
             rows.append([dict(zip(_SPAN.names, map(int, r))) for r in row])
         return pd.Series(rows, dtype=object)
 
@@ -408,25 +403,28 @@ def shared_passages(
     one note; passages inside one note are none.  Ties go to the smallest key.  Extra columns are left out.
     """
     texts = notes_of(notes, key, text)
-    seeds = texts.mapInArrow(_seeds(k, window, math.ceil(similarity * min_words), REACH * min_words), "seed bigint, k bigint, pos int, start int, before int, after int")
-    seeds = written(seeds, "seeds")
-    first = seeds.groupBy("seed").agg(F.min("k").alias("owner"), F.max("k").alias("last")).filter("owner < last").drop("last")
-    common = seeds.join(first, "seed")
-    at = F.min(F.struct("pos", "start", "before", "after")).alias("o")
-    owned = common.filter("k = owner").groupBy("seed").agg(at)
-    matched = common.filter("k <> owner").join(owned, "seed")
-    anchor = F.struct(
-        "pos", F.col("o.pos").alias("other"), "start", "before", "after",
-        F.col("o.start").alias("other_start"), F.col("o.before").alias("other_before"), F.col("o.after").alias("other_after"),
-    )
-    pairs = matched.groupBy("k", "owner").agg(F.collect_set(anchor).alias("anchors"))
-    chains = pairs.mapInArrow(_chain(k, min_words, gap_cost, max_gap), _CHAIN)
-
-    cut = lambda lo, hi: F.substring(F.col("t"), F.col(lo) + 1, F.col(hi) - F.col(lo))
-    names = chains.columns
-    left = chains.join(texts, "k").select(*names, cut("a_from", "a_to").alias("a"))
-    both = left.join(texts.withColumnRenamed("k", "owner"), "owner").select(*names, "a", cut("b_from", "b_to").alias("b"))
-    got = _aligned(k, min_words, similarity)("a", "b", "pos", "other", "start", "a_from", "other_start", "b_from")
+    seeds = written(texts.mapInArrow(_seeds(k, window, math.ceil(similarity * min_words)), _SEEDS), "seeds")
+    # A note has a seed for the first time once, so its place is that of the smallest key.
+    owners = seeds.filter("first").groupBy("seed").agg(F.min("k").alias("owner"), F.max("k").alias("last"), F.min_by("pos", "k").alias("other"))
+    matched = seeds.drop("first").join(owners.filter("owner < last").drop("last"), "seed").filter("k <> owner")
+    pairs = matched.groupBy("k", "owner").agg(F.collect_set(F.struct("pos", "other")).alias("anchors"))
+    chains = written(pairs.mapInArrow(_chain(k, min_words, gap_cost, max_gap), _CHAIN), "chains")
+
+    # The words around each chain are cut out before texts meet: only notes that take part are read again.
+    partners = chains.select("k").union(chains.select(F.col("owner").alias("k"))).distinct()
+    held = written(texts.join(partners, "k", "left_semi").withColumn("starts", _word_starts("t")), "partners")
+    reach = REACH * min_words
+
+    def cut(rows: DataFrame, by: str, places: str, into: str) -> DataFrame:
+        """Adds the text around a chain, the number of its first word and the place of that."""
+        low = F.greatest(F.element_at(places, 1) - reach, F.lit(0))
+        high = F.least(F.element_at(places, -1) + (k + reach), F.size("starts") - 1)
+        rows = rows.join(held.withColumnRenamed("k", by), by)
+        rows = rows.withColumns({f"lo_{into}": low, f"f{into}": F.get("starts", low), "_end": F.get("starts", high)})
+        return rows.withColumn(into, F.expr(f"substring(t, f{into} + 1, _end - f{into})")).drop("t", "starts", "_end")
+
+    both = cut(cut(chains, "k", "pos", "a"), "owner", "other", "b")
+    got = _aligned(k, min_words, similarity)("a", "b", "pos", "other", "lo_a", "lo_b", "fa", "fb")
     spans = both.select("k", "owner", F.explode(got).alias("s")).select(
         F.col("k").alias(key),
         "s.start",
