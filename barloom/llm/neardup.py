@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,7 +199,9 @@ def consistent_samples(h: np.ndarray, w: np.ndarray, samples: int, seed: int = 1
     return code
 
 
-_SIGNED = "id binary, mass double, common double, shingles binary, weights binary, bands array<bigint>"
+_SIGNED = "id binary, mass double, common double, shingles binary, weights binary, bands array<bigint>, marks array<bigint>"
+#: Words of 64 bits that mark which shingles a text shares, each by ten bits of its hash.
+_MARKS = 16
 
 
 def _sign(bands: int, rows: int, similarity: float, idf_share: float, n_texts: int):
@@ -222,9 +224,11 @@ def _sign(bands: int, rows: int, similarity: float, idf_share: float, n_texts: i
         private = (total - np.bincount(doc, tf, len(ids))) * (1 + idf_share)
         shared = np.bincount(doc, w, len(ids))
         ends = np.searchsorted(doc, np.arange(len(ids) + 1))
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for d in np.flatnonzero((shared > 0) & (shared >= (similarity - 1e-6) * (shared + private))):
             hs, ws = h[ends[d] : ends[d + 1]], w[ends[d] : ends[d + 1]]
+            marks, bit = np.zeros(_MARKS, np.uint64), hs >> np.uint64(54)
+            np.bitwise_or.at(marks, (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
             row = [ids[d].tobytes(), shared[d] + private[d], shared[d] / (shared[d] + private[d]), hs.tobytes(), ws.tobytes()]
             if private[d] > 0:
                 hs, ws = np.append(hs, mix(np.frombuffer(row[0], np.uint64)[:1])), np.append(ws, np.float32(private[d]))
@@ -232,9 +236,9 @@ def _sign(bands: int, rows: int, similarity: float, idf_share: float, n_texts: i
             band = np.arange(bands, dtype=np.uint64)
             for k in range(rows):
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
-            for c, v in zip(out, (*row, band.view(np.int64))):
+            for c, v in zip(out, (*row, band.view(np.int64), marks.view(np.int64))):
                 c.append(v)
-        kinds = (pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split(" ")[0] for c in _SIGNED.split(", ")])
 
     return run
@@ -264,25 +268,47 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", got.alias("similarity"))
 
 
+def _alone(marks: str, other: str) -> Column:
+    """How many marks of one text the other does not have."""
+    bits = [F.bit_count(F.get(marks, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(_MARKS)]
+    return sum(bits[1:], bits[0])
+
+
 def _further_rounds(banded: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Labels after every member of a band group outside its leader's class has led, or joined that class."""
+    """Labels after every member of a band group that is outside its leader's class, and can have a link, has led or joined that class.
+
+    Two texts share at most what the poorer of them shares with any text, less one for each mark that it has alone (a shingle weighs one at
+    least): that bounds their similarity.
+    """
+    # Similarity s of masses x, y: the shared mass is s / (1 + s) of x + y.
+    need = similarity / (1 + similarity) * (1 - 1e-6)
+    shared = F.col("common") * F.col("mass")
     near = tested.select(F.col("a").alias("node"), F.col("b").alias("lead"), "similarity")
-    groups = written(banded.filter("node <> lead").join(near, ["node", "lead"]), "groups")
-    done, led, leaders = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None, 1
+    groups = written(banded.filter("node <> lead").join(near, ["node", "lead"]).join(sets.select("node", "marks"), "node"), "groups")
+    groups = groups.withColumn("shared", shared)
+    done, led, leaders = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None, 8
     while True:
         lead_label = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
         now = groups.join(labels, "node", "left").join(lead_label, "lead", "left")
         now = now.withColumn("label", F.coalesce("label", "node")).withColumn("lead_label", F.coalesce("lead_label", "lead"))
-        odd = now.filter("label <> lead_label")
+        now = written(now, "now")
+        odd = now.filter((F.col("label") != F.col("lead_label")) & (F.col("shared") >= need * (F.col("mass") + F.col("least"))))
         if led is not None:
             odd = odd.join(led, ["band", "node"], "left_anti")
+        # Only groups that still have such members go on.
+        groups = now.drop("label", "lead_label").join(odd.select("band").distinct(), "band", "left_semi")
         best = Window.partitionBy("band").orderBy(F.desc("common"), "node")
         odd = odd.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= leaders)
-        odd = written(odd.select("band", F.col("node").alias("x"), F.col("similarity").alias("sx"), F.col("label").alias("lx")), "leaders")
+        odd = odd.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "similarity", "label", "mass", "shared", "marks")])
+        odd = written(odd.withColumnRenamed("node_x", "x"), "leaders")
         if not odd.limit(1).count():
             return labels
         led = odd.select("band", F.col("x").alias("node")) if led is None else led.union(odd.select("band", F.col("x").alias("node")))
-        meet = now.join(odd, "band").filter((F.col("label") != F.col("lx")) & (F.abs(F.col("similarity") - F.col("sx")) <= 1 - similarity + 1e-6))
+        far = F.abs(F.col("similarity") - F.col("similarity_x")) > 1 - similarity + 1e-6
+        enough = need * (F.col("mass") + F.col("mass_x"))
+        rich = F.least("shared", "shared_x") >= enough  # cheaper than to look at the marks
+        alike = F.least(F.col("shared") - _alone("marks", "marks_x"), F.col("shared_x") - _alone("marks_x", "marks")) >= enough
+        meet = now.join(odd, "band").filter((F.col("label") != F.col("label_x")) & rich & ~far & alike)
         meet = meet.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         more = written(_similarities(meet.join(done, ["a", "b"], "left_anti"), sets), "tested")
         done = done.union(more.select("a", "b"))
@@ -296,7 +322,7 @@ def _further_rounds(banded: DataFrame, tested: DataFrame, labels: DataFrame, set
             alone = merged.select(F.col("label").alias("node"), "label").join(labels, "node", "left_anti")
             both = labels.union(alone.select("node", "label")).join(merged, "label", "left")
             labels = written(both.select("node", F.coalesce("to", "label").alias("label")), "labels")
-        leaders *= 2
+        leaders *= 4
 
 
 def near_duplicates(
@@ -323,9 +349,9 @@ def near_duplicates(
     which less than ``similarity`` is shared cannot be linked and go.  The others get ``bands`` x ``rows`` consistent
     samples; a pair of similarity 0.8 shares no band with a probability below 1e-6.  In every band group all
     members are compared with the one whose text is shared most.  While a group still has members outside that leader's class, the
-    best of them lead in turn (one in the first round, twice as many in each further one) and are compared with the members of other classes that the
-    distances to the first leader don't rule out (1 - similarity is a metric).  A round costs one comparison for each member and leader, and links
-    merge whole classes, so few rounds are needed; only members that are linked to nobody all become leaders.
+    best of them lead in turn (eight in the first round, four times as many in each further one) and are compared with the members of other classes that neither the
+    distances to the first leader (1 - similarity is a metric) nor what each shares at all rules out.  Links merge whole classes, so few
+    rounds are needed; members that no mass in their group lets them link to don't lead.
 
     Null texts are empty.  Empty texts form one class; texts below ``words`` words have one shingle of all their
     words.  A null key takes no part in ``class_id`` unless all keys of a class are null.  Repeated rows stay, extra columns are
@@ -343,10 +369,10 @@ def near_duplicates(
     signed = blocks.applyInArrow(_sign(bands, rows, similarity, idf_share, n_texts), _SIGNED)
     sets = written(signed.join(groups.filter("node is not null"), "id").drop("id"), "sets")
 
-    banded = written(sets.select("node", "common", F.explode("bands").alias("band")), "bands")
+    banded = written(sets.select("node", "common", "mass", F.explode("bands").alias("band")), "bands")
     lead = F.max(F.struct("common", F.negative("node").alias("low")))
-    leads = banded.groupBy("band").agg(F.negative(lead["low"]).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    banded = banded.join(leads.select("band", "lead"), "band")
+    leads = banded.groupBy("band").agg(F.negative(lead["low"]).alias("lead"), F.min("mass").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    banded = banded.join(leads.select("band", "lead", "least"), "band")
     pairs = banded.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     tested = written(_similarities(pairs, sets), "tested")
     labels = connected(tested.filter(F.col("similarity") >= similarity), "a", "b")
