@@ -132,27 +132,50 @@ def add_weekly_pivots(
 ) -> DataFrame:
     """Daily rows with the values of the newest week label not after them.
 
-    A day finds its label by equality: its own week if it is that Sunday, else
-    the key's week before, which ``lag`` puts next to each week.  So the as-of
-    match is an equi join.
+    A week label is the Sunday that ends the week, so a day that is no Sunday sees the week before.  Weeks are never made rows of
+    their own: every day carries its week's values and the number of its week, and RANGE frames over that number reach
+    the neighbouring weeks.  So all of it happens in the partitions of the key, without a join.  Weeks that ``weekly_bars`` would
+    leave out have no number; their days see the newest week before.
     """
-    cols = ["weekly_pivot_high", "weekly_pivot_low", "weekly_trend"]
-    weeks = weekly_pivots(panel, period, trend, by, time)
-    own = F.struct(*cols)
-    weeks = weeks.select(
-        *by,
-        F.col(time).alias("_week"),
-        own.alias("_own"),
-        F.lag(own).over(series(by, time)).alias("_prev"),
-    )
-    joined = panel.withColumn("_week", week_end(F.col(time))).join(weeks, [*by, "_week"], "left")
-    value = F.when(F.col("_week") == F.col(time), F.col("_own")).otherwise(F.col("_prev"))
-    joined = joined.withColumn("_v", value)
-    return joined.select(
-        *[F.col(c) for c in panel.columns],
-        F.col("_v.weekly_pivot_high").alias("weekly_pivot_high"),
-        F.col("_v.weekly_pivot_low").alias("weekly_pivot_low"),
-        F.coalesce(F.col("_v.weekly_trend"), F.lit(0)).alias("weekly_trend"),
+    if trend not in ("asof", "final"):
+        raise ValueError(f"trend must be 'final' or 'asof', not {trend!r}")
+    kept = panel.columns
+    week = Window.partitionBy(*by, "_week").orderBy(time).rowsBetween(START, Window.unboundedFollowing)
+    df = panel.withColumn("_week", week_end(F.col(time)))
+    df = df.withColumns({"_high": F.max("high").over(week), "_low": F.min("low").over(week)})
+    whole_week = F.col("_high").isNotNull() & F.col("_low").isNotNull() & F.sum("volume").over(week).isNotNull()
+    whole_week &= F.first("open").over(week).isNotNull() & F.last("close").over(week).isNotNull()
+    df = df.withColumn("_whole", whole_week)
+    days = series(by, time)
+    starts = F.col("_whole") & (~F.lag("_week").over(days).eqNullSafe(F.col("_week")))
+    df = df.withColumn("_starts", starts.cast("int"))
+    df = df.withColumns({"_no": F.sum("_starts").over(running(days)), "_weeks": F.sum("_starts").over(whole(by))})
+    df = df.withColumns({c: F.when(F.col("_whole"), F.col(c)) for c in ("_high", "_low")})
+
+    number = Window.partitionBy(*by).orderBy("_no")
+    behind, ahead = number.rangeBetween(-period, -1), number.rangeBetween(1, period)
+    inner = (F.col("_no") > period) & (F.col("_no") + period <= F.col("_weeks"))
+    top = inner & (F.col("_high") > F.max("_high").over(behind)) & (F.col("_high") > F.max("_high").over(ahead))
+    bottom = inner & (F.col("_low") < F.min("_low").over(behind)) & (F.col("_low") < F.min("_low").over(ahead))
+    df = df.withColumns({"_ph": F.when(top, F.col("_high")), "_pl": F.when(bottom, F.col("_low"))})
+    # The pivot low before each pivot low; then the newest such pair, of the whole series or known by each week.
+    df = df.withColumn("_before", F.last("_pl", ignorenulls=True).over(number.rangeBetween(START, -1)))
+    pair = F.when(F.col("_pl").isNotNull(), F.struct("_no", F.col("_pl").alias("cur"), F.col("_before").alias("old")))
+    two = F.max(pair).over(whole(by)) if trend == "final" else F.last(pair, ignorenulls=True).over(number.rangeBetween(START, -period))
+    df = df.withColumn("_two", two)
+    sign = F.coalesce(F.signum(F.col("_two.cur") - F.col("_two.old")).cast("int"), F.lit(0))
+    enough = F.col("_weeks") >= 2 * period + 3
+    own = F.when(F.col("_whole"), F.struct(*[F.when(enough, F.col(c)).alias(c) for c in ("_ph", "_pl")], F.when(enough, sign).otherwise(0).alias("_trend")))
+    df = df.withColumn("_own", own)
+    newest = F.last("_own", ignorenulls=True)
+    df = df.withColumns({"_same": newest.over(number.rangeBetween(START, 0)), "_prev": newest.over(number.rangeBetween(START, -1))})
+    seen = F.when(~F.col("_whole"), F.col("_same")).when(F.col("_week") == F.col(time), F.col("_own")).otherwise(F.col("_prev"))
+    df = df.withColumn("_v", seen)
+    return df.select(
+        *[F.col(c) for c in kept],
+        F.col("_v._ph").alias("weekly_pivot_high"),
+        F.col("_v._pl").alias("weekly_pivot_low"),
+        F.coalesce(F.col("_v._trend"), F.lit(0)).alias("weekly_trend"),
     )
 
 

@@ -284,7 +284,47 @@ def test_plans_have_no_cross_join_and_no_python(spark):
         assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text
 
 
+def S_week(day):
+    """The Sunday that ends a day's week."""
+    return day + dt.timedelta(days=6 - day.weekday())
+
+
 def test_indicator_pass_shuffles_once(spark):
     p = panel(spark, walk(300, 15)).repartition(2)
     text = plan(I.add_atr_ratio(I.add_zscore(I.add_bollinger(I.add_oscillators(p)))))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_all_signals_shuffle_once(spark):
+    """The weekly trend included: with broadcasts off no join is left to shuffle for."""
+    p = panel(spark, walk(300, 15)).repartition(2)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(G.compute_signals(p))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+@pytest.mark.parametrize("trend", ["asof", "final"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weekly_values_on_days_equal_a_loop(spark, trend, seed):
+    """Days against the weekly rows: gaps of weeks, a week without volume, Sundays."""
+    rng = np.random.default_rng(seed)
+    bars = walk(420, seed, swing=0.03)
+    bars = bars[rng.random(len(bars)) < 0.6]
+    bars = bars[(bars.index < 150) | (bars.index > 185)].copy()
+    lost = [S_week(d) == S_week(bars["dt"].iloc[80]) for d in bars["dt"]]
+    bars.loc[lost, "volume"] = np.nan
+    df = panel(spark, bars)
+    df = df.withColumn("volume", F.nanvl("volume", F.lit(None).cast("double")))
+    got = S.add_weekly_pivots(df, 2, trend).orderBy("dt").collect()
+    weeks = S.weekly_pivots(df, 2, trend).orderBy("dt").collect()
+    whole = {w["dt"]: w for w in weeks}
+    assert any(w["weekly_pivot_low"] for w in weeks) and len(got) == len(bars)
+    for r in got:
+        seen = [w for w in weeks if w["dt"] <= r["dt"]]
+        want = (seen[-1]["weekly_pivot_high"], seen[-1]["weekly_pivot_low"], seen[-1]["weekly_trend"]) if seen else (None, None, 0)
+        assert (r["weekly_pivot_high"], r["weekly_pivot_low"], r["weekly_trend"]) == want
+    assert S_week(bars["dt"].iloc[80]) not in whole
