@@ -18,6 +18,7 @@ from ..functions.ewm import Ewm, add_ewm, span
 from ..functions.windows import (
     BY,
     TIME,
+    add_means,
     holds,
     ratio,
     roll_avg,
@@ -42,8 +43,7 @@ def add_lags(panel: DataFrame, by: Sequence[str] = BY, time: str = TIME) -> Data
 
 
 def add_sma(panel: DataFrame, windows: Sequence[int] = (K.MA_SHORT, K.MA_LONG), by=BY, time=TIME) -> DataFrame:
-    w = series(by, time)
-    return panel.withColumns({f"sma_{n}": roll_avg("close", n, w) for n in windows})
+    return add_means(panel, {f"sma_{n}": n for n in windows}, by=by, time=time)
 
 
 def add_bollinger(panel, period: int = K.BB_PERIOD, width: float = K.BB_STD, by=BY, time=TIME) -> DataFrame:

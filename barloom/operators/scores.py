@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import BY, TIME, holds, ratio, roll_avg, row_index, series, whole
+from ..functions.windows import BY, TIME, add_means, holds, ratio, row_index, series, whole
 from .indicators import (
     add_atr,
     add_atr_ratio,
@@ -79,9 +79,7 @@ def snapshot(panel, parts=ALL_PARTS, by=BY, time=TIME) -> DataFrame:
         panel = add_volume_ratio(add_atr_ratio(panel, by=by, time=time), by=by, time=time)
         panel = add_fractal_dimension(panel, by=by, time=time)
     if need & {"setups", "votes", "cross"}:
-        panel = panel.withColumns(
-            {"sma_50": roll_avg("close", K.MA_SHORT, w), "sma_200": roll_avg("close", K.MA_LONG, w)}
-        )
+        panel = add_means(panel, {"sma_50": K.MA_SHORT, "sma_200": K.MA_LONG}, by=by, time=time)
     if "cross" in need:
         panel = ma_crossover(panel, by=by, time=time)
         event = F.struct(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.windows import BY, TIME, holds, latest, ratio, roll_avg, row_index, running, series, two_state, whole
+from ..functions.windows import BY, TIME, add_means, holds, latest, ratio, row_index, running, series, two_state, whole
 from .indicators import (
     add_atr_ema,
     add_donchian,
@@ -40,9 +40,10 @@ def ma_crossover(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, by=BY, t
     enters if the short one is already higher.
     """
     w = series(by, time)
-    panel = panel.withColumn("_above", holds(roll_avg("close", short, w) > roll_avg("close", long, w)).cast("int"))
+    panel = add_means(panel, {"_short": short, "_long": long}, by=by, time=time)
+    panel = panel.withColumn("_above", holds(F.col("_short") > F.col("_long")).cast("int"))
     change = F.col("_above") - F.lag("_above").over(w)
-    return panel.withColumn("signal", F.coalesce(change, F.lit(0)).cast("int")).drop("_above")
+    return panel.withColumn("signal", F.coalesce(change, F.lit(0)).cast("int")).drop("_above", "_short", "_long")
 
 
 def macd_rsi(
@@ -152,9 +153,10 @@ def fractal_base(
     }
     for n in lookbacks:
         cols[f"recent_{n}"] = F.count("pivot_low").over(w.rowsBetween(-p - n, -p)) > 0
+    panel = add_means(panel, {f"_mean_{n}": n for n in sma_filters}, by=by, time=time)
     for n in sma_filters:
-        cols[f"above_sma_{n}"] = holds(F.col("close") > roll_avg("close", n, w))
-    panel = panel.withColumns(cols)
+        cols[f"above_sma_{n}"] = holds(F.col("close") > F.col(f"_mean_{n}"))
+    panel = panel.withColumns(cols).drop(*[f"_mean_{n}" for n in sma_filters])
     c = F.col("close")
     return panel.withColumns(
         {
@@ -378,10 +380,7 @@ def _long(wide, columns: Sequence[str], names: Sequence[str], by, time, keep) ->
 
 def last_cross(panel, short: int = K.MA_SHORT, long: int = K.MA_LONG, digits: int = 2, by=BY, time=TIME) -> DataFrame:
     """Per key: trend at the last bar and the newest crossover."""
-    w = series(by, time)
-    panel = ma_crossover(panel, short, long, by, time).withColumns(
-        {"_short": roll_avg("close", short, w), "_long": roll_avg("close", long, w)}
-    )
+    panel = add_means(ma_crossover(panel, short, long, by, time), {"_short": short, "_long": long}, by=by, time=time)
     cross = F.struct(
         F.col(time).alias("cross_dt"),
         F.when(F.col("signal") == 1, "golden_cross").otherwise("death_cross").alias("cross_type"),
