@@ -118,3 +118,56 @@ def _smooth(df: DataFrame, specs: list[Ewm], block: int, by, time: str) -> DataF
         decayed = F.coalesce(carry, F.lit(0.0)) * F.exp((F.col("_p") + 1) * -s.rate)
         result[s.out] = F.when(F.col(f"_n{k}") >= max(s.min_periods, 1), at + F.col(f"_e{k}") + decayed)
     return df.withColumns(seen).withColumns(local).withColumns(result).drop(*seen, *local)
+
+
+#: Decay that a block of a series with gaps spans, and the most that one step is given (exp(-200) of anything is nothing).
+_SPAN, _STEP = 300.0, 200.0
+
+
+def add_ewm_gaps(df: DataFrame, specs: Sequence[Ewm], by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
+    """Exponential means of series with missing values anywhere.
+
+    The weight of what came before decays with every row, present or not: at a value ``d`` rows after the one before it is
+    ``(1-a)^d / ((1-a)^d + a)``, and the value's own weight is the rest.  A row without a value keeps the mean so far; without any value
+    there is none.  ``min_periods`` counts values.
+
+    Blocks are cut by the decay summed up rather than by rows, so that long gaps fit: inside a block the closed form neither
+    overflows nor loses digits, and of earlier blocks the last row of the newest one is all that matters.
+    """
+    kept = df.columns
+    w = series(by, time)
+    df = df.withColumn("_i", row_index(w))
+    for k, s in enumerate(specs):
+        df = _gap_pass(df, s, f"_{k}", by, time)
+    return df.select(*kept, *[s.out for s in specs])
+
+
+def _gap_pass(df: DataFrame, s: Ewm, tag: str, by, time: str) -> DataFrame:
+    w = series(by, time)
+    name = lambda c: f"_{c}{tag}"
+    x = F.col(s.source).cast("double")
+    there = x.isNotNull()
+    last = F.last(F.when(there, F.col("_i")), ignorenulls=True).over(w.rowsBetween(START, -1))
+    df = df.withColumns(
+        {name("at"): last, name("n"): F.count(x).over(w.rowsBetween(START, 0)), name("c"): F.first(x, ignorenulls=True).over(w.rowsBetween(START, 0))}
+    )
+    late = F.least((F.col("_i") - F.col(name("at"))) * s.rate, F.lit(_STEP))
+    step = F.when(there, F.coalesce(F.log1p(s.alpha * F.exp(late)), F.lit(0.0))).otherwise(0.0)
+    df = df.withColumn(name("step"), step)
+    df = df.withColumn(name("sum"), F.sum(name("step")).over(w.rowsBetween(START, 0)))
+    df = df.withColumn(name("b"), F.floor(F.col(name("sum")) / _SPAN))
+    # (key, block, time) is the order of both windows, so they share one sort.
+    ordered = Window.partitionBy(*by).orderBy(name("b"), time)
+    in_block = Window.partitionBy(*by, name("b")).orderBy(time).rowsBetween(START, 0)
+    center = F.col(name("c")) if s.centered else F.lit(0.0)
+    weight = F.when(F.col(name("n")) == 1, F.lit(1.0)).otherwise(-F.expm1(-F.col(name("step"))))
+    inside = F.col(name("sum")) - F.col(name("b")) * _SPAN
+    scaled = F.when(there, weight * (x - center) * F.exp(inside)).otherwise(0.0)
+    df = df.withColumn(name("e"), F.sum(scaled).over(in_block) * F.exp(-inside))
+    ends = F.coalesce(F.lead(name("b")).over(ordered) != F.col(name("b")), F.lit(True))
+    df = df.withColumn(name("end"), F.when(ends, F.struct(name("e"), name("sum"))))
+    carry = F.last(name("end"), ignorenulls=True).over(ordered.rowsBetween(START, -1))
+    df = df.withColumn(name("carry"), carry)
+    rest = F.col(name("carry"))[name("e")] * F.exp(F.col(name("carry"))[name("sum")] - F.col(name("sum")))
+    y = center + F.col(name("e")) + F.coalesce(rest, F.lit(0.0))
+    return df.withColumn(s.out, F.when(F.col(name("n")) >= max(s.min_periods, 1), y))

@@ -10,6 +10,7 @@ import pytest
 from conftest import DAY0, flat, panel, walk
 from pyspark.sql import functions as F
 
+from barloom.functions.ewm import Ewm, add_ewm_gaps
 from barloom.functions.windows import series, two_state
 from barloom.operators import backtest as K
 from barloom.operators import signals as G
@@ -208,3 +209,23 @@ def test_weekly_label_is_the_sunday(spark):
     assert all(pd.Timestamp(d).weekday() == 6 for d in w.dt)
     days = pd.Series(f.close.to_numpy(), index=pd.DatetimeIndex([pd.Timestamp(DAY0) + dt.timedelta(days=k) for k in range(14)]))
     assert w.close.tolist() == days.resample("W").last().tolist()
+
+
+def test_ewm_with_gaps_equals_pandas(spark):
+    rng = np.random.default_rng(6)
+    frames = []
+    for k, (n, share) in enumerate([(400, 0.5), (900, 0.02), (50, 0.0), (300, 1.0), (1, 1.0)]):
+        f = walk(n, k, f"S{k}")
+        f["x"] = np.where(rng.random(n) < share, f["close"], np.nan)
+        frames.append(f)
+    frames.append(flat([5.1] * 200, "F").assign(x=lambda f: np.where(np.arange(200) % 3 == 1, f["close"], np.nan)))
+    df = panel(spark, *frames).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    specs = [Ewm("a", "x", 2 / 13, min_periods=3), Ewm("b", "x", 0.9), Ewm("c", "x", 0.01, centered=False)]
+    got = add_ewm_gaps(df, specs).orderBy("symbol", "dt").toPandas()
+    for f in frames:
+        own = got[got["symbol"] == f["symbol"].iloc[0]]
+        for s in specs:
+            want = f["x"].ewm(alpha=s.alpha, adjust=False, min_periods=s.min_periods).mean()
+            np.testing.assert_allclose(own[s.out].to_numpy(float), want.to_numpy(), rtol=1e-9, atol=0)
+    seen = got[(got["symbol"] == "F") & got["a"].notna()]
+    assert (seen["a"] == 5.1).all()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.ewm import Ewm, add_ewm_gaps, span
+from barloom.functions.windows import row_index, series
 from barloom.operators import bars as B
 from barloom.operators import indicators as I
 from barloom.operators import structure as S
@@ -323,6 +325,31 @@ def ema(spark, sf):
     return shown(I.add_ema(T.bars(spark, sf)), "symbol", "dt", "ema_12", "ema_26")
 
 
+cte("gaps", "SELECT symbol, i, dt, CASE WHEN CAST(volume AS BIGINT) % 3 > 0 AND i % 97 < 90 THEN close END AS x FROM b")
+cte(
+    "ewg",
+    """
+SELECT symbol, i, dt, x AS y, x AS z, CASE WHEN x IS NOT NULL THEN 1::DOUBLE END AS wy, CASE WHEN x IS NOT NULL THEN 1::DOUBLE END AS wz
+FROM gaps WHERE i = 0
+UNION ALL
+SELECT g.symbol, g.i, g.dt,
+       CASE WHEN g.x IS NULL THEN e.y WHEN e.y IS NULL THEN g.x ELSE (e.wy * 11 / 13 * e.y + 2::DOUBLE / 13 * g.x) / (e.wy * 11 / 13 + 2::DOUBLE / 13) END,
+       CASE WHEN g.x IS NULL THEN e.z WHEN e.z IS NULL THEN g.x ELSE (e.wz * 25 / 27 * e.z + 2::DOUBLE / 27 * g.x) / (e.wz * 25 / 27 + 2::DOUBLE / 27) END,
+       CASE WHEN g.x IS NOT NULL THEN 1 ELSE e.wy * 11 / 13 END, CASE WHEN g.x IS NOT NULL THEN 1 ELSE e.wz * 25 / 27 END
+FROM ewg e JOIN gaps g ON g.symbol = e.symbol AND g.i = e.i + 1
+""",
+)
+
+
+@query("ema_gaps", "SELECT symbol, dt, round(y, 4) AS ema_12, round(z, 4) AS ema_26 FROM ewg")
+def ema_gaps(spark, sf):
+    """Means of closes of which a third is missing, with whole weeks in between."""
+    bars = T.bars(spark, sf).withColumn("_k", row_index(series()))
+    x = F.when((F.col("volume").cast("bigint") % 3 > 0) & (F.col("_k") % 97 < 90), F.col("close"))
+    means = [Ewm("ema_12", "x", span(12)), Ewm("ema_26", "x", span(26))]
+    return shown(add_ewm_gaps(bars.withColumn("x", x), means), "symbol", "dt", "ema_12", "ema_26", digits=4)
+
+
 @query("rsi", "SELECT symbol, dt, round(rsi, 6) AS rsi FROM ewx")
 def rsi(spark, sf):
     return shown(I.add_rsi(T.bars(spark, sf)), "symbol", "dt", "rsi")
