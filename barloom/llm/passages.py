@@ -50,11 +50,11 @@ def occurrences(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SEEDS = "seed bigint, k bigint, pos int, first boolean"
+_SEEDS = "seed bigint, k bigint, pos int"
 
 
 def _seeds(k: int, window: int, least: int):
-    """Texts -> their seeds; ``first``: not seen before in this text."""
+    """Texts -> their seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("hashes", HASHES.clear)
@@ -72,12 +72,11 @@ def _seeds(k: int, window: int, least: int):
                 nth = occurrences(h[at]).astype(np.uint64)
                 head = np.ones(len(at), bool)
                 head[1:] = (h[at[1:]] != h[at[:-1]]) | (np.diff(at) > window)
-                first = np.concatenate([nth[head] == 0, np.ones((nth > 0).sum(), bool)])
                 at, nth = np.concatenate([at[head], at[nth > 0]]), np.concatenate([nth[head] * np.uint64(0), nth[nth > 0]])
                 seed = mix(h[at] + nth * np.uint64(0x9E3779B97F4A7C15))
-                parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), first))
+                parts.append((seed.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["seed", "k", "pos", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["seed", "k", "pos"])
 
     return run
 
@@ -403,27 +402,30 @@ def shared_passages(
     one note; passages inside one note are none.  Ties go to the smallest key.  Extra columns are left out.
     """
     texts = notes_of(notes, key, text)
-    seeds = written(texts.mapInArrow(_seeds(k, window, math.ceil(similarity * min_words)), _SEEDS), "seeds")
-    # A note has a seed for the first time once, so its place is that of the smallest key.
-    owners = seeds.filter("first").groupBy("seed").agg(F.min("k").alias("owner"), F.max("k").alias("last"), F.min_by("pos", "k").alias("other"))
-    matched = seeds.drop("first").join(owners.filter("owner < last").drop("last"), "seed").filter("k <> owner")
+    seeds = texts.mapInArrow(_seeds(k, window, math.ceil(similarity * min_words)), _SEEDS)
+    # Two passes over one shuffle by seed: its first and last note, then its first place in the first one.
+    same = Window.partitionBy("seed")
+    seeds = seeds.withColumns({"owner": F.min("k").over(same), "last": F.max("k").over(same)}).filter("owner < last")
+    matched = seeds.withColumn("other", F.min(F.when(F.col("k") == F.col("owner"), F.col("pos"))).over(same)).filter("k <> owner")
     pairs = matched.groupBy("k", "owner").agg(F.collect_set(F.struct("pos", "other")).alias("anchors"))
     chains = written(pairs.mapInArrow(_chain(k, min_words, gap_cost, max_gap), _CHAIN), "chains")
 
     # The words around each chain are cut out before texts meet: only notes that take part are read again.
-    partners = chains.select("k").union(chains.select(F.col("owner").alias("k"))).distinct()
-    held = written(texts.join(partners, "k", "left_semi").withColumn("starts", _word_starts("t")), "partners")
+    later, earlier = chains.select("k", F.lit(True).alias("later")), chains.select(F.col("owner").alias("k"), F.lit(False).alias("later"))
+    roles = later.union(earlier).groupBy("k").agg(F.max("later").alias("later"), F.min("later").alias("_only_later"))
+    roles = roles.select("k", "later", (~F.col("_only_later")).alias("earlier"))
+    held = written(texts.join(roles, "k").withColumn("starts", _word_starts("t")), "partners")
     reach = REACH * min_words
 
-    def cut(rows: DataFrame, by: str, places: str, into: str) -> DataFrame:
+    def cut(rows: DataFrame, by: str, places: str, into: str, role: str) -> DataFrame:
         """Adds the text around a chain, the number of its first word and the place of that."""
         low = F.greatest(F.element_at(places, 1) - reach, F.lit(0))
         high = F.least(F.element_at(places, -1) + (k + reach), F.size("starts") - 1)
-        rows = rows.join(held.withColumnRenamed("k", by), by)
+        rows = rows.join(held.filter(role).drop("later", "earlier").withColumnRenamed("k", by), by)
         rows = rows.withColumns({f"lo_{into}": low, f"f{into}": F.get("starts", low), "_end": F.get("starts", high)})
         return rows.withColumn(into, F.expr(f"substring(t, f{into} + 1, _end - f{into})")).drop("t", "starts", "_end")
 
-    both = cut(cut(chains, "k", "pos", "a"), "owner", "other", "b")
+    both = cut(cut(chains, "k", "pos", "a", "later"), "owner", "other", "b", "earlier")
     got = _aligned(k, min_words, similarity)("a", "b", "pos", "other", "lo_a", "lo_b", "fa", "fb")
     spans = both.select("k", "owner", F.explode(got).alias("s")).select(
         F.col("k").alias(key),
