@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import TABLES, compare
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
