@@ -25,15 +25,34 @@ START: State = ("", 0)
 
 
 class _WordIds(dict):
-    """What follows a space sign -> ids of the sign and it, remembered."""
+    """What follows a space sign -> ids of the sign and it, remembered if they give the word back; ``lossy`` counts the others."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.lossy = 0
 
     def __missing__(self, rest: str) -> tuple[int, ...]:
+        word = SPACE + rest
+        ids = tuple(self.pieces.word_ids(word))
+        if self.pieces.joined(ids) != word:
+            self.lossy += 1
+            return ids
         if len(self) > 2 * MEMO:
             self.clear()
-        self[rest] = ids = tuple(self.pieces.word_ids(SPACE + rest))
+        self[rest] = ids
+        return ids
+
+
+class _PartIds(dict):
+    """A part of a word that no piece reaches beyond -> its ids, remembered."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, part: str) -> list[int]:
+        if len(self) > MEMO:
+            self.clear()
+        self[part] = ids = self.pieces.piece_ids(self.pieces.part_path(part))
         return ids
 
 
@@ -46,6 +65,7 @@ class Pieces:
     """
 
     def __init__(self, path: str, unigram: bool | None = None, model: bytes | None = None):
+        import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -73,7 +93,14 @@ class Pieces:
         self.kind = {p[:n]: 1 for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, 2)
         self.fits: dict[str, dict[str, bool]] = {}
         self.n_fits = 0
+        #: Neighbouring characters within a piece; between any others all paths meet in one state.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.found = ahocorasick.Automaton()
+        for p in self.ids:
+            self.found.add_word(p, p)
+        self.found.make_automaton()
         self.words = _WordIds(self)
+        self.parts = _PartIds(self)
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short text: the best-scoring adjacent pair first, the leftmost of equals."""
@@ -144,12 +171,44 @@ class Pieces:
                     continue
                 if unigram:
                     s = score + scores.get(p, self.penalty)
-                elif not (fits(p) or (fits(p) is None and self.neighbours(last, p, known))):
-                    continue
+                else:
+                    fit = fits(p)
+                    if fit is None:
+                        fit = self.neighbours(last, p, known)
+                    if not fit:
+                        continue
                 if best[e] is None or s > best[e][0]:
                     best[e] = (s, p)
         return best
 
+    def part_path(self, part: str) -> list[str]:
+        """The best path of a part from a start state to its end.
+
+        As ``forward`` and ``trace``, with all arcs found in one pass, by their ends; of a byte-pair model, whose arcs
+        weigh 0 or minus infinity, one path at most reaches a place.
+        """
+        if self.unigram or not self.ids.keys() >= set(part):
+            return self.trace(self.forward(part, len(part), START), START, len(part))
+        after = self.after
+        last: list[str | None] = ["", *[None] * len(part)]
+        known: list[dict[str, bool] | None] = [after(""), *[None] * len(part)]
+        for end, p in self.found.iter(part):
+            end += 1
+            if last[end] is None:
+                b = end - len(p)
+                fits = known[b]
+                if fits is not None:
+                    fit = fits.get(p)
+                    if fit is None:
+                        fit = self.neighbours(last[b], p, fits)
+                    if fit:
+                        last[end], known[end] = p, after(p)
+        out, e = [], len(part)
+        while e:
+            out.append(last[e])
+            e -= len(last[e])
+        return out[::-1]
+
     def trace(self, best: list, entry: State, exit_: int) -> list[str]:
         """Pieces of the best path that end at ``exit_``, without the entry's own."""
         out, e = [], exit_
@@ -240,7 +299,14 @@ class Pieces:
         return out
 
     def word_ids(self, word: str) -> list[int]:
-        return self.piece_ids(self.trace(self.forward(word, len(word), START), START, len(word)))
+        """Ids of a text from a start state, part by part."""
+        inside, parts = self.inside, self.parts
+        at, out = 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in inside:
+                out += parts[word[at:i]]
+                at = i
+        return out + parts[word[at:]] if at else parts[word]
 
     def stops(self, text: str) -> list[int]:
         """Places before a space sign that follows another character."""
@@ -251,25 +317,32 @@ class Pieces:
             at = text.find(SPACE, at + 1)
         return out
 
-    def whole(self, text: str) -> np.ndarray:
-        """A text of one chunk: one matrix of one entry and one exit, one factor a word."""
-        if text[:1] != SPACE or SPACE + SPACE in text:
-            return np.array(self.between(text), np.int32)
-        words = text[1:].split(SPACE)
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.int32)
+    def whole(self, text: str) -> tuple[np.ndarray, bool]:
+        """Ids of a text of one chunk, and whether they decode to it: one matrix of one entry and one exit, one factor a word."""
+        norm = self.normal(text)
+        if norm[:1] != SPACE or SPACE + SPACE in norm:
+            ids = np.array(self.between(norm), np.int32)
+            return ids, self.decode(ids.tolist()) == text
+        lossy = self.words.lossy
+        ids = np.fromiter(chain.from_iterable(map(self.words.__getitem__, norm[1:].split(SPACE))), np.int32)
+        if not self.prefix or SPACE in text:
+            return ids, self.decode(ids.tolist()) == text
+        return ids, self.words.lossy == lossy
 
     def normal(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
-    def decode(self, ids: Sequence[int]) -> str:
-        """The text of ids; byte pieces are joined as UTF-8, broken sequences become U+FFFD."""
+    def joined(self, ids: Sequence[int]) -> str:
+        """The pieces of ids in a row; byte pieces are joined as UTF-8, broken sequences become U+FFFD."""
         names, bytes_ = self.names, self.byte_of
         if bytes_.keys().isdisjoint(ids):
-            text = "".join([names[i] for i in ids])
-        else:
-            raw = b"".join([bytes([bytes_[i]]) if i in bytes_ else names[i].encode() for i in ids])
-            text = raw.decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
+            return "".join([names[i] for i in ids])
+        raw = b"".join([bytes([bytes_[i]]) if i in bytes_ else names[i].encode() for i in ids])
+        return raw.decode("utf-8", "replace")
+
+    def decode(self, ids: Sequence[int]) -> str:
+        """The text of ids."""
+        text = self.joined(ids).replace(SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -375,8 +448,8 @@ def _encode_short(model: str, unigram: bool | None):
         d = pieces_of(model, unigram)
         for batch in sliced(batches):
             texts = batch.column("t").to_pylist()
-            ids = [d.whole(d.normal(t)) for t in texts]
-            same = [d.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+            coded = [d.whole(t) for t in texts]
+            ids, same = [x for x, _ in coded], [s for _, s in coded]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
