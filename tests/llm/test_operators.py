@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from barloom.llm import codec, fingerprints, fixity, mixing, neardup, passages, pieces, token_counts, token_files, topk, toxicity
@@ -462,6 +463,37 @@ def test_schedule_keeps_proportions_everywhere(spark):
         assert abs(part["a"] - 50) <= 3 and abs(part["b"] - 20) <= 3 and abs(part["c"] - 30) <= 3
 
 
+def plain_print(text):
+    """A fingerprint, paragraph by paragraph and word pair by word pair."""
+    some, small, wide, pairs = 0, [0] * 16, [0] * 64, 0
+    for p in text.split("\n"):
+        if not p.strip(" "):
+            continue
+        some += 1
+        own = xxhash.xxh64_intdigest(p.encode(), 42)
+        for i in range(4):
+            h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), own)
+            for j in range(4):
+                small[4 * i + j] += h >> 16 * j & 0xFFFF
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", p.strip(" ")) if w]
+        for pair in [f"{a} {b}" for a, b in zip(words, words[1:])] or words:
+            h = xxhash.xxh64_intdigest(pair.encode(), 42)
+            pairs += 1
+            for i in range(64):
+                wide[i] += h >> i & 1
+    return f"{some:08x}" + "".join(f"{v % 65536:04x}" for v in small) + "".join(f"{v % 2**32:08x}" for v in [*wide, pairs])
+
+
+def plain_likeness(a, b):
+    """From the two strings alone."""
+    if a == b:
+        return 1.0
+    va, vb = (np.array([int(x[at : at + 8], 16) for at in range(72, 592, 8)], float) for x in (a, b))
+    va, vb = 2 * va[:64] - va[64], 2 * vb[:64] - vb[64]
+    norm = np.sqrt(va @ va * (vb @ vb))
+    return min(1.0, max(0.0, va @ vb / norm)) if norm else 0.0
+
+
 def test_fingerprints(spark, rng):
     a, b, c = prose(rng, 30), prose(rng, 40), prose(rng, 1)
     texts = [f"{a}\n{b}\n{c}", f"{c}\n\n{b}\n{a}\n", f"{a}\n{b}", c, f"{a}\n{a}", a, None, "", " \n"]
@@ -477,13 +509,21 @@ def test_edited_fingerprints(spark, rng):
     rows = [(i, t, None) for i, t in enumerate(odd_texts(rng))] + [(6, "vix up", None), (6, "vix up", None), (None, "last", None)]
     got = fingerprints.edited_fingerprints(notes(spark, rows)).collect()
     order = sorted({(k is not None, k or 0, hashlib.md5((t or "").encode()).digest(), t or "", k) for k, t, _ in rows}, reverse=True)
-    assert len(got) == len(order)
+    assert len(got) == len(rows) and sum(r["seq"] == 6 for r in got) == sum(k == 6 for k, _, _ in rows)
     by = {(r["seq"], r["edited"], r["n_chars"]): r for r in got}
     for i, (_, _, _, t, k) in enumerate(order):
         behind = order[(i + 1) % len(order)][3]
         m = len(t) // 3
         assert (k, t[: len(t) - m] + behind[:m], len(t)) in by
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    prints = {}
+    for i, (_, _, _, t, k) in enumerate(order):
+        behind = order[(i + 1) % len(order)][3]
+        prints[k, t[: len(t) - len(t) // 3] + behind[: len(t) // 3], len(t)] = (t, behind)
+    for r in got:
+        t, behind = prints[r["seq"], r["edited"], r["n_chars"]]
+        assert r["fingerprint"] == plain_print(t) and r["edited_fingerprint"] == plain_print(r["edited"])
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]), abs=1e-12)
+        assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], plain_print(behind)), abs=1e-12)
     assert fingerprints.edited_fingerprints(simple(spark, [])).count() == 0
     assert fingerprints.edited_fingerprints(simple(spark, ["only one"])).head()["near_next"] == 1
 
