@@ -73,9 +73,12 @@ def likeness(a: Column, b: Column) -> Column:
     """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     centred = lambda x: F.transform(F.slice(x, 1, 64), lambda v: v * 2.0 - F.element_at(x, 65))
-    ca, cb = centred(_lanes(a)), centred(_lanes(b))
-    norm = F.sqrt(dot(ca, ca) * dot(cb, cb))
-    return F.when(a == b, 1.0).when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(ca, cb) / norm))).otherwise(0.0)
+    # Arrays of one element, so that a lambda's variable holds what is used more than once.
+    read = F.array(F.struct(_lanes(a).alias("a"), _lanes(b).alias("b")))
+    both = F.transform(read, lambda s: F.struct(centred(s["a"]).alias("a"), centred(s["b"]).alias("b")))
+    parts = F.transform(both, lambda s: F.struct(dot(s["a"], s["b"]).alias("dot"), F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"])).alias("norm")))
+    cosine = F.transform(parts, lambda s: F.when(s["norm"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["dot"] / s["norm"]))).otherwise(0.0))
+    return F.when(a == b, 1.0).otherwise(F.element_at(cosine, 1))
 
 
 def next_rows(keys: DataFrame, order: list[Column], cols: list[str]) -> DataFrame:
