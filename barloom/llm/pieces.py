@@ -32,9 +32,10 @@ class _WordIds(dict):
         self.lossy = 0
 
     def __missing__(self, rest: str) -> tuple[int, ...]:
-        word = SPACE + rest
-        ids = tuple(self.pieces.word_ids(word))
-        if self.pieces.joined(ids) != word:
+        parts = self.pieces.parts
+        lossy = parts.lossy
+        ids = tuple(self.pieces.word_ids(SPACE + rest))
+        if parts.lossy > lossy:
             self.lossy += 1
             return ids
         if len(self) > 2 * MEMO:
@@ -44,15 +45,25 @@ class _WordIds(dict):
 
 
 class _PartIds(dict):
-    """A part of a word that no piece reaches beyond -> its ids, remembered."""
+    """A part of a word that no piece reaches beyond -> its ids, remembered if they give it back; ``lossy`` counts the others."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.lossy = 0
 
     def __missing__(self, part: str) -> list[int]:
-        if len(self) > MEMO:
+        d = self.pieces
+        path = d.part_path(part)
+        try:
+            ids = [d.ids[p] for p in path]
+        except KeyError:
+            ids = d.piece_ids(path)
+        if d.joined(ids) != part:
+            self.lossy += 1
+            return ids
+        if len(self) > 2 * MEMO:
             self.clear()
-        self[part] = ids = self.pieces.piece_ids(self.pieces.part_path(part))
+        self[part] = ids
         return ids
 
 
@@ -118,7 +129,7 @@ class Pieces:
 
     def after(self, a: str) -> dict[str, bool]:
         """What is known of the pieces behind a piece."""
-        if self.n_fits > MEMO:
+        if self.n_fits > 4 * MEMO:
             self.fits.clear()
             self.n_fits = 0
         return self.fits.setdefault(a, {})
@@ -189,7 +200,7 @@ class Pieces:
         """
         if self.unigram or not self.ids.keys() >= set(part):
             return self.trace(self.forward(part, len(part), START), START, len(part))
-        after = self.after
+        after, made = self.after, self.fits.get
         last: list[str | None] = ["", *[None] * len(part)]
         known: list[dict[str, bool] | None] = [after(""), *[None] * len(part)]
         for end, p in self.found.iter(part):
@@ -202,7 +213,7 @@ class Pieces:
                     if fit is None:
                         fit = self.neighbours(last[b], p, fits)
                     if fit:
-                        last[end], known[end] = p, after(p)
+                        last[end], known[end] = p, made(p) or after(p)
         out, e = [], len(part)
         while e:
             out.append(last[e])
