@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.chunked import add_ewm_chunked, add_peak_chunked, add_position_chunked
 from barloom.functions.ewm import Ewm, add_ewm_gaps, span
 from barloom.functions.windows import row_index, series
 from barloom.operators import bars as B
@@ -350,6 +351,52 @@ def ema_gaps(spark, sf):
     return shown(add_ewm_gaps(bars.withColumn("x", x), means), "symbol", "dt", "ema_12", "ema_26", digits=4)
 
 
+cte(
+    "minutes",
+    """
+SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS i,
+       CASE WHEN cents % 17 = 0 THEN 1 WHEN cents % 13 = 0 THEN -1 ELSE 0 END AS signal
+FROM (SELECT event_type AS symbol, date_trunc('minute', ts) AS dt, CAST(round(max(value) * 100) AS BIGINT) AS cents FROM events GROUP BY 1, 2)
+""",
+)
+
+
+def minutes(spark, sf):
+    """Highest price of each minute, in whole cents, and a signal: series that no task should hold whole."""
+    bars = T.ticks(spark, sf).groupBy("symbol", F.date_trunc("minute", "ts").alias("dt")).agg(F.round(F.max("price") * 100).cast("bigint").alias("cents"))
+    signal = F.when(F.col("cents") % 17 == 0, 1).when(F.col("cents") % 13 == 0, -1).otherwise(0)
+    return bars.withColumn("signal", signal)
+
+
+# Of 300 rows back (11/13)^300 is left, nothing in double precision.
+@query(
+    "ema_minutes",
+    """
+SELECT a.symbol, a.dt, round(sum(b.cents * pow(11::DOUBLE / 13, a.i - b.i) * CASE WHEN b.i = 0 THEN 1 ELSE 2::DOUBLE / 13 END), 3) AS ema_12
+FROM minutes a JOIN minutes b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 300 AND a.i GROUP BY 1, 2
+""",
+)
+def ema_minutes(spark, sf):
+    """Exponential means of minutes, a day at a time."""
+    return shown(add_ewm_chunked(minutes(spark, sf), Ewm("ema_12", "cents", span(12)), F.to_date("dt")), "symbol", "dt", "ema_12", digits=3)
+
+
+@query(
+    "position_minutes",
+    """
+SELECT symbol, dt, position, position = 1 AND was = 0 AS entered, position = 0 AND was = 1 AS exited, peak
+FROM (SELECT *, coalesce(lag(position) OVER (PARTITION BY symbol ORDER BY dt), 0) AS was
+      FROM (SELECT symbol, dt, CASE WHEN last_value(nullif(signal, 0) IGNORE NULLS) OVER w = 1 THEN 1 ELSE 0 END AS position, max(cents) OVER w AS peak
+            FROM minutes WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)))
+""",
+)
+def position_minutes(spark, sf):
+    """Positions and running peaks of minutes, a day at a time."""
+    day = F.to_date("dt")
+    held = add_position_chunked(minutes(spark, sf), day)
+    return add_peak_chunked(held, day, value="cents").select("symbol", "dt", "position", "entered", "exited", "peak")
+
+
 @query("rsi", "SELECT symbol, dt, round(rsi, 6) AS rsi FROM ewx")
 def rsi(spark, sf):
     return shown(I.add_rsi(T.bars(spark, sf)), "symbol", "dt", "rsi")
