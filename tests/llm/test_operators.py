@@ -542,6 +542,11 @@ def test_toxicity(spark, rng):
     right = [(out[i]["score"] >= 0.3) == (i % 4 == 0) for i in range(600, 800)]
     assert np.mean(right) > 0.97
     assert out[900]["score"] == out[901]["score"] == out[902]["score"] and out[900]["n_words"] == 0
+    # The rows that a smaller calibration sample leaves give counts, as the others do.
+    few = toxicity.fit_toxicity(table, labels, calibration_rows=40)
+    assert len(few.words) >= 3
+    out = {r["seq"]: r["toxicity"]["score"] for r in toxicity.add_toxicity(table, few).collect()}
+    assert np.mean([(out[i] >= 0.3) == (i % 4 == 0) for i in range(600, 800)]) > 0.9
     none = toxicity.fit_toxicity(table, labels.limit(0))
     assert toxicity.add_toxicity(table, none).filter("abs(toxicity.score - 0.5) > 1e-9").count() == 0
     assert toxicity.add_toxicity(simple(spark, []), none).count() == 0
